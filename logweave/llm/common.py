@@ -105,3 +105,11 @@ def raw_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - offsets[0]
+
+
+# --- joins whose small side is checked ----------------------------------------------------------
+
+
+def checked(small: DataFrame, max_rows: int) -> DataFrame:
+    """small with a broadcast hint if it has at most max_rows rows, else as it is: the join then shuffles. Call on cut tables: it counts."""
+    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small

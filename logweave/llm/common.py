@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -28,14 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again, so that a lost executor costs a read, not the lineage."""
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again, so that a lost executor costs a read, not the lineage.
+
+    free: have the driver collect its garbage, after which Spark deletes the shuffle files of plans that are done with.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logweave-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if free:
+        release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that cut() wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/logweave-" in path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lower_ascii(c: Column) -> Column:

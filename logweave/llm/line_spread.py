@@ -68,6 +68,14 @@ def clean(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share:
     )
 
 
+def strip(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
+    """docs, with the same columns, without boilerplate lines; n_chars, where there is one, is the cleaned text's."""
+    out = clean(docs, site, min_sites, max_share)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return out.select(*docs.columns)
+
+
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return clean(docs).select("doc_id", "n_lines", "n_removed", "text")

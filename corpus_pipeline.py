@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: each stage takes (spark, docs, sf_dir) and returns a DataFrame for the next."""
+"""A training corpus from raw documents: each stage takes (spark, docs, sf_dir) and returns a DataFrame for the next.
+
+toxicity drops documents predicted toxic, line dedup removes cross-site boilerplate lines, near-dedup keeps one document of
+each group, decontamination removes benchmark passages (documents made mostly of them go), and mixing samples documents to
+the target weights. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logweave.llm import decontaminate, line_spread, mixing, tensor_minhash
+from logweave.llm import toxicity as toxic
 from logweave.llm.common import shared_dir, table
-from logweave.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+    return toxic.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_spread.strip(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tensor_minhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
 
 
-STAGES = [("toxicity", toxicity)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mix),
+]
 
 # learned scores have no SQL form
 ORACLE_SQL = None
@@ -23,8 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents; each result is written to the shared folder and read again."""
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{i}-{name}"
+    for i, (_, stage) in enumerate(STAGES):
+        path = f"{base}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -102,12 +102,12 @@ def non_verbose_id(big_endian: Column) -> Column:
 
 
 def non_verbose_text() -> Column:
-    """[id] text; hex where the rest has other than printable bytes and line ends."""
+    """[id] text|hex; the hex only where bytes other than printable ones and line ends were replaced."""
     rest = F.expr("substring(payload, 5)")
-    raw = F.decode(rest, "ISO-8859-1")
-    shown = F.when(raw.rlike(r"[^\x20-\x7e\r\n\t]"), hex_dump(rest)).otherwise(F.regexp_replace(raw, r"[\r\n\t]", "-"))
+    odd = F.decode(rest, "ISO-8859-1").rlike(r"[^\x20-\x7e\r\n\t]")
     number = non_verbose_id(has_flag(S.HTYP_BIG_ENDIAN))
-    return F.when(number.isNull(), "[<args missing>]").otherwise(F.concat(F.lit("["), number.cast("string"), F.lit("] "), shown))
+    shown = F.concat(F.lit("["), number.cast("string"), F.lit("] "), printable(rest), F.lit("|"), F.when(odd, hex_dump(rest)).otherwise(""))
+    return F.when(number.isNull(), "[<args missing>]").otherwise(shown)
 
 
 def kind_label() -> Column:

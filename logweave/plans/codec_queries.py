@@ -71,7 +71,7 @@ def roundtrip_dlt(spark: SparkSession, sf: str) -> DataFrame:
     return ids(m, "reception_time_us", "timestamp_dms", F.col("mcnt").cast("long").alias("mcnt"), C.log_level().cast("long").alias("level"), "payload_text")
 
 
-@query("SELECT idx AS index, 16 + 22 + 4 + 2 + strlen(txt) + 1 + 12 + 5 AS bytes FROM m")
+@query("SELECT idx AS index, 16 + 18 + 4 + 2 + strlen(txt) + 1 + 12 + 5 AS bytes FROM m")
 def dlt_writer_sizes(spark: SparkSession, sf: str) -> DataFrame:
     m = decoded(encoded(spark, sf))
     return sinks.serialised(m).select("index", F.length("raw").cast("long").alias("bytes"))

@@ -249,8 +249,8 @@ def detect(msgs: DataFrame, limits: Limits = Limits(), mode: str = "per_ecu") ->
         return pd.DataFrame(table, columns=["index", "key", "lc"])
 
     info = "id:long,ecu:binary,nr_msgs:long,nr_control_req_msgs:long,start_time_us:long,initial_start_time_us:long,min_timestamp_us:long,max_timestamp_us:long,last_reception_time_us:long,resume:struct<id:long,max_timestamp_us:long,start_time_us:long>,sw_version:string"
-    group = [F.col("ecu")] if mode == "per_ecu" else [F.lit(1)]
-    found = detection_input(msgs).groupBy(*group).applyInPandas(run, f"index long, key long, lc struct<{info}>")
+    group = F.col("ecu") if mode == "per_ecu" else F.lit("all")
+    found = detection_input(msgs).withColumn("_group", group).groupBy("_group").applyInPandas(run, f"index long, key long, lc struct<{info}>")
     heads = found.where("lc is not null").select("key", "lc.*").drop("id")
     # one row a lifecycle: numbering them in one task is cheap
     heads = heads.withColumn("id", F.row_number().over(Window.orderBy("key")).cast("long"))

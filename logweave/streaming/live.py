@@ -109,10 +109,10 @@ def messages(datagrams: DataFrame, ecu: bytes = b"\0\0\0\0") -> DataFrame:
     return datagrams.groupBy("sender").applyInPandasWithState(run, MSG_SCHEMA, "rest binary, number long", "append", GroupStateTimeout.NoTimeout)
 
 
-def lifecycles(msgs: DataFrame, limits: Limits = Limits(), idle_ms: int = 60_000) -> DataFrame:
+def lifecycles(msgs: DataFrame, limits: Limits = Limits(), idle_ms: int | None = None) -> DataFrame:
     """index, ecu, key of a stream's messages once their lifecycle is certain; key numbers an ECU's lifecycles.
 
-    The machine of an ECU, with the rows it holds back, is its state; after idle_ms without rows all it holds is given out.
+    The machine of an ECU, with the rows it holds back, is its state; after idle_ms (if given) without rows all it holds is given out.
     """
     import pandas as pd
 
@@ -130,11 +130,12 @@ def lifecycles(msgs: DataFrame, limits: Limits = Limits(), idle_ms: int = 60_000
         for ecu, lcs in machine.by_ecu.items():
             machine.by_ecu[ecu] = lcs[-2:]
         state.update((pickle.dumps(machine),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(r.index, r.ecu, r.lifecycle) for r in out], columns=["index", "ecu", "key"])
 
     rows = detection_input(msgs)
-    return rows.groupBy("ecu").applyInPandasWithState(run, "index long, ecu binary, key long", "machine binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("ecu").applyInPandasWithState(run, "index long, ecu binary, key long", "machine binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def ordered(msgs: DataFrame, window: str = "20 seconds") -> DataFrame:

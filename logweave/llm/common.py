@@ -36,7 +36,7 @@ def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logweave-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -104,7 +104,7 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
     return s
 
 
-def chunks(lengths: np.ndarray, limit: int = 2_000_000):
+def chunks(lengths: np.ndarray, limit: int = 400_000):
     """Ranges of rows with at most limit bytes together (one row may have more)."""
     at, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
@@ -128,6 +128,12 @@ def raw_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - offsets[0]
 
 
+def shield(df: DataFrame, names: tuple[str, ...]):
+    """df with its columns of these names renamed, and the function that gives them their names back: operators add columns so named."""
+    own = {c: f"_own_{c}" for c in df.columns if c in names}
+    return df.withColumnsRenamed(own), lambda out: out.drop(*own).withColumnsRenamed({v: k for k, v in own.items()})
+
+
 # --- joins whose small side is checked ----------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, shield, table
 
 # ASCII digits and letters and every byte over 0x7F make words; A-Z are lowered, all else separates
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -214,8 +214,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
     """
     import pyarrow as pa
 
-    columns, at = docs.columns, docs.columns.index("text")
-    found = matches(docs, benchmark, window)
+    renamed, restore = shield(docs, ("n_words", "spans", "items"))
+    columns, at = renamed.columns, renamed.columns.index("text")
+    found = matches(renamed, benchmark, window)
     hit = F.expr("aggregate(spans, 0L, (a, x) -> x - a, a -> a)")
     found = found.where((F.col("n_words") == 0) | (hit <= max_coverage * F.col("n_words"))).drop("items", "n_words")
 
@@ -233,8 +234,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(columns))], names=columns)
 
-    out = found.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
+    out = restore(found.mapInArrow(run, renamed.schema)).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 _W = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, cut, table
+from .common import checked, cut, shield, table
 
 LG_K = 12
 MAX_BROADCAST = 200_000
@@ -51,29 +51,30 @@ def clean(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share:
     """docs with text cleaned, and n_lines and n_removed (long)."""
     flagged = boilerplate(docs, site, min_sites)
     # what is removed depends on the text alone, so a 128-bit hash of the text, with doc_id for an even spread, is the key
-    key = [F.xxhash64(F.lit(k), F.col("doc_id"), F.col("text")).alias(f"k{k}") for k in (1, 2)]
+    key = [F.xxhash64(F.lit(k), F.col("doc_id"), F.col("text")).alias(f"_k{k}") for k in (1, 2)]
     hit = lines(docs, site, *key).join(checked(flagged, MAX_BROADCAST), KEYS, "left_semi")
-    places = hit.groupBy("k1", "k2").agg(F.collect_set("pos").alias("places"))  # bounded by the lines of one text
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "places", "k1", "k2")]
-    out = docs.select(*own, *key).join(places, ["k1", "k2"], "left")
+    places = hit.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_places"))  # bounded by the lines of one text
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    out = docs.select(*own, *key).join(places, ["_k1", "_k2"], "left")
     every = F.split("text", "\n")
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("places", i)), "\n")
-    out = out.withColumn("kept", F.when(F.col("places").isNotNull(), kept))
-    take = F.col("kept").isNotNull() & (F.length("kept") >= (1 - max_share) * F.length("text"))
+    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_places", i)), "\n")
+    out = out.withColumn("_kept", F.when(F.col("_places").isNotNull(), kept))
+    take = F.col("_kept").isNotNull() & (F.length("_kept") >= (1 - max_share) * F.length("text"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(every))
     return out.select(
-        *[F.when(take, F.col("kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in own],
+        *[F.when(take, F.col("_kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in own],
         n_lines.cast("long").alias("n_lines"),
-        F.when(take, F.size("places")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(take, F.size("_places")).otherwise(0).cast("long").alias("n_removed"),
     )
 
 
 def strip(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
     """docs, with the same columns, without boilerplate lines; n_chars, where there is one, is the cleaned text's."""
-    out = clean(docs, site, min_sites, max_share)
+    renamed, restore = shield(docs, ("n_lines", "n_removed"))
+    out = clean(renamed, site, min_sites, max_share)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*docs.columns)
+    return restore(out).select(*docs.columns)
 
 
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

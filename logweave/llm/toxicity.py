@@ -8,7 +8,8 @@ Labels are read from at most `max_train` documents of either class (a bounded, d
 hash of doc_id); all documents are scored whole.
 
 Edge cases: null and empty texts have no sentences and the score 0.0; null labels are not used; with no usable labels, or
-labels of one class only, every score is 0.0; repeated rows are scored each; extra columns pass through unread.
+labels of one class only, every score is 0.0; repeated rows are scored each; extra columns pass through unread (score() replaces those
+named as its own; drop_toxic() keeps all).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shield, table
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -175,8 +176,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """docs without those predicted toxic; the model is fitted on the labelled rows of docs."""
-    scored = score(docs, fit(docs, labels), threshold)
-    return scored.where("predicted = 0").select(*docs.columns)
+    renamed, restore = shield(docs, ("score", "predicted", "offending"))
+    scored = score(renamed, fit(docs, labels), threshold).where("predicted = 0")
+    return restore(scored.drop("score", "predicted", "offending")).select(*docs.columns)
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}

@@ -75,7 +75,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     cells = cut(d.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens").alias("total"))
     raked = rake(cells, targets, iterations, temper).crossJoin(F.broadcast(total))  # one row
-    p = F.coalesce(F.least(F.lit(1.0), keep * F.col("weight") * F.col("total") / F.nullif("tokens", F.lit(0))), F.lit(0.0))
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), keep * F.col("weight") * F.col("total") / F.col("tokens"))).otherwise(0.0)
     raked = cut(raked.select(*[F.col(x).alias(f"_{x}") for x in DIMS], p.alias("probability")), "probabilities")
     # the first 52 bits of a hash as a number from 0 to 1
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
@@ -100,7 +100,7 @@ w0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens,
             out.append(f"w{n + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, tokens, weight * share / nullif(sum(weight) OVER (PARTITION BY w.{d}), 0) AS weight FROM w{n} w JOIN g_{d} g ON w.{d} IS NOT DISTINCT FROM g.{d})")
             n += 1
     return ",\n".join(out) + f""",
-p AS (SELECT *, coalesce(least(1.0, {KEEP} * weight * sum(tokens) OVER () / nullif(tokens, 0)), 0) AS p FROM w{n})
+p AS (SELECT *, CASE WHEN tokens > 0 THEN least(1.0, {KEEP} * weight * sum(tokens) OVER () / tokens) ELSE 0 END AS p FROM w{n})
 SELECT t.doc_id, t.source, t.lang, t.topic, n_tokens, round(p * 10000)::BIGINT AS p_10000
 FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source AND t.lang IS NOT DISTINCT FROM p.lang AND t.topic = p.topic
 WHERE ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / pow(2.0, 52) < p"""

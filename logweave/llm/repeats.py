@@ -6,10 +6,11 @@ content-defined anchor, its k-byte gram of the smallest hash (leftmost of equal
 at equal places. The windows of one anchor form a block of at most 2 * length - k bytes, and only blocks that share
 an anchor are compared, column by column relative to it: two windows are equal exactly if they agree in a column.
 
-Steps, each written out for the next: anchors of all texts are counted; texts are collapsed to distinct ones; blocks with
-an anchor that occurs twice are gathered by anchor, equal blocks once; in each anchor's blocks the windows of each column
-that occur twice are marked; marked windows become byte ranges of the texts. Anchors with more than `hot` distinct blocks
-are compared by counting window hashes over all tasks instead, so that no anchor's blocks must fit into one.
+Steps, each written out for the next: anchors of all texts are counted; texts are collapsed to distinct ones; their blocks
+with an anchor that occurs twice are listed by content hash; anchors of one content need no comparison, and of those of
+several only one block for each content is read; in each anchor's blocks the windows of each column that occur twice are
+marked; marked windows become byte ranges of the texts. Anchors with more than `hot` contents are compared by counting
+window hashes over all tasks instead, so that no anchor's blocks must fit into one.
 
 Equality is decided on 64-bit hashes (of windows, within an anchor and column) and 128-bit hashes (of texts and blocks).
 
@@ -23,12 +24,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, MULT, checked, chunks, cut, discard, mix, powers, prefix_hash, raw_bytes, release, table
+from .common import BYTE_CODE, MULT, chunks, cut, discard, mix, powers, prefix_hash, raw_bytes, release, table
 
 LENGTH, GRAM = 200, 72
 HOT = 20_000
-PIECE = 4_000_000  # longer texts are read in pieces that overlap by a window
-MAX_BROADCAST = 100_000
+PIECE = 1_000_000  # longer texts are read in pieces that overlap by a window
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -86,31 +86,48 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("t1", "text").mapInArrow(run, "t1 long, g long, s long")
 
 
-def blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The blocks of texts (t1, t2, n, text, flags: the first windows to take): their place s, anchor g, its offset and the bytes; dup: the text occurs twice."""
+def blocks(texts: DataFrame, length: int, gram: int, with_bytes: bool) -> DataFrame:
+    """The blocks of texts (t1, t2, n, text, flags) that begin at the flagged places: s, anchor g, its offset, windows, content hash c1, c2.
+
+    dup: the text occurs twice. A flag is a place times 4, plus 2 for a hot anchor, plus 1 for a content that occurs twice;
+    with_bytes: give these two bits, and the bytes.
+    """
     import pyarrow as pa
+    import xxhash
+
+    names = ["t1", "t2", "s", "g", "off", "windows", "c1", "c2", "dup"]
+    schema = "t1 long, t2 long, s long, g long, off int, windows int, c1 long, c2 long, dup boolean"
+    if with_bytes:
+        names, schema = [*names, "hot", "sure", "block"], schema + ", hot boolean, sure boolean, block binary"
 
     def run(batches):
         for b in batches:
             t1, t2, n = (b.column(i).to_numpy() for i in range(3))
-            flags = [np.array(x, np.int64) for x in b.column(4).to_pylist()]
+            lists = b.column(4)
             for rows, base, data, offsets in _pieces(b.column(3), length):
                 text, s, count, place, g = runs(data, offsets, length, gram)
                 own = s - offsets[text] + base[text]
-                take = np.zeros(len(s), bool)
+                keep, bits = [], []
                 for i, r in enumerate(rows.tolist()):
                     a, e = np.searchsorted(text, (i, i + 1))
-                    take[a:e] = np.isin(own[a:e], flags[r])
-                keep = np.flatnonzero(take)
-                raw = data.tobytes()
-                cut_out = [raw[x : x + c + length - 1] for x, c in zip(s[keep].tolist(), count[keep].tolist(), strict=True)]
+                    flags = np.sort(lists[r].values.to_numpy())
+                    at = np.searchsorted(flags >> 2, own[a:e])
+                    at[at == len(flags)] = 0
+                    good = np.flatnonzero(flags[at] >> 2 == own[a:e])
+                    keep.append(good + a)
+                    bits.append(flags[at[good]])
+                keep, bits = np.concatenate(keep).astype(np.int64), np.concatenate(bits)
+                raw, off = data.tobytes(), (place - s)[keep]
+                parts = [raw[x : x + c + length - 1] for x, c in zip(s[keep].tolist(), count[keep].tolist(), strict=True)]
+                digest = b"".join([xxhash.xxh3_128_digest(x, o) for x, o in zip(parts, off.tolist(), strict=True)])
+                c = np.frombuffer(digest, ">i8").astype(np.int64).reshape(-1, 2)
                 r = rows[text[keep]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(t1[r]), pa.array(t2[r]), pa.array(own[keep]), pa.array(g[keep].view(np.int64)), pa.array((place - s)[keep].astype(np.int32)), pa.array(cut_out, pa.binary()), pa.array(n[r] > 1)],
-                    names=["t1", "t2", "s", "g", "off", "block", "dup"],
-                )
+                out = [t1[r], t2[r], own[keep], g[keep].view(np.int64), off.astype(np.int32), count[keep].astype(np.int32), np.ascontiguousarray(c[:, 0]), np.ascontiguousarray(c[:, 1]), n[r] > 1]
+                if with_bytes:
+                    out += [bits & 2 > 0, bits & 1 > 0, pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
-    return texts.select("t1", "t2", "n", "text", "flags").mapInArrow(run, "t1 long, t2 long, s long, g long, off int, block binary, dup boolean")
+    return texts.select("t1", "t2", "n", "text", "flags").mapInArrow(run, schema)
 
 
 def columns(g: np.ndarray, off: np.ndarray, column, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,23 +169,24 @@ def compare(rows: DataFrame, length: int) -> DataFrame:
         hit |= sure[block]
         ranges = _ranges(block[hit], place[hit], len(g))
         keep = [i for i, r in enumerate(ranges) if r]
+        keep = np.array(keep, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[keep]) for c in ("c1", "c2")] + [pa.array([ranges[i] for i in keep], pa.list_(pa.int32()))], names=["c1", "c2", "ranges"])
 
     def run(batches):
         held: list = []
         size = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            size += b.num_rows
-            g = b.column(0).to_numpy()
-            if size < 20_000 or g[0] == g[-1]:
-                continue
-            split = int(np.searchsorted(g, g[-1]))  # the last anchor may go on in the next batch
-            yield some(pa.Table.from_batches([*held[:-1], b.slice(0, split)]))
-            held, size = [b.slice(split)], b.num_rows - split
-        if held:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                b = batch.slice(at, 2000)
+                held.append(b)
+                size += b.num_rows
+                g = b.column(0).to_numpy()
+                if g[0] == g[-1] or size < 2000:
+                    continue
+                split = int(np.searchsorted(g, g[-1]))  # the last anchor may go on in the next slice
+                yield some(pa.Table.from_batches([*held[:-1], b.slice(0, split)]))
+                held, size = [b.slice(split)], b.num_rows - split
+        if size:
             yield some(pa.Table.from_batches(held))
 
     return rows.select("g", "off", "c1", "c2", "block", "sure").mapInArrow(run, "c1 long, c2 long, ranges array<int>")
@@ -211,26 +229,33 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     texts = docs.select("text", F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2")).where(F.octet_length("text") >= length)
     found = cut(anchors(texts, length, gram), "anchors")
     twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    # equal texts give equal rows: once is enough
-    flags = found.join(twice, "g", "left_semi").groupBy("t1").agg(F.collect_set("s").alias("flags"))  # bounded by a text's length
+    # equal texts give equal rows: once is enough; a list is bounded by its text's length
+    flags = found.join(twice, "g", "left_semi").groupBy("t1").agg(F.collect_set(F.col("s") * 4).alias("flags"))
     flags = cut(flags, "flags", free=True)
     discard(found)
     distinct = texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("text").alias("text"))
-    rows = cut(blocks(distinct.join(flags, "t1"), length, gram), "blocks", free=True)
-    key = [F.xxhash64(F.lit(k), "g", "off", "block").alias(f"c{k}") for k in (1, 2)]
-    rows = rows.select("*", *key)
-    once = rows.groupBy("g", "off", "c1", "c2").agg(F.first("block").alias("block"), ((F.count("*") > 1) | F.max("dup")).alias("sure"))
-    once = cut(once, "once", free=True)
-    many = cut(once.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("g"), "hot")
-    calm = once.join(checked(many, MAX_BROADCAST), "g", "left_anti").repartition("g").sortWithinPartitions("g")
-    shared = compare(calm, length).union(compare_hot(once.join(checked(many, MAX_BROADCAST), "g", "left_semi"), length))
-    shared = cut(shared, "shared", free=True)
+    listed = cut(blocks(distinct.join(flags, "t1"), length, gram, False), "listed", free=True)
+    discard(flags)
+    content = listed.groupBy("g", "c1", "c2").agg(((F.count("*") > 1) | F.max("dup")).alias("sure"), F.min(F.struct("t1", "s")).alias("at"), F.first("windows").alias("windows"))
+    content = cut(content, "content", free=True)
+    many = content.groupBy("g").agg(F.count("*").alias("contents")).where("contents > 1")
+    one = content.join(many, "g", "left_anti").where("sure").select("c1", "c2", F.array(F.lit(0), F.col("windows") - 1).alias("ranges"))
+    bits = F.col("at.s") * 4 + F.when(F.col("contents") > hot, 2).otherwise(0) + F.col("sure").cast("int")
+    flags = content.join(many, "g").groupBy(F.col("at.t1").alias("t1")).agg(F.collect_set(bits).alias("flags"))
+    flags = cut(flags, "contested", free=True)
+    rows = cut(blocks(distinct.join(flags, "t1"), length, gram, True), "blocks", free=True)
+    calm = rows.where("not hot").repartition("g").sortWithinPartitions("g")
+    shared = compare(calm, length).union(compare_hot(rows.where("hot"), length)).union(one)
+    shared = cut(shared.dropDuplicates(["c1", "c2"]), "shared", free=True)
+    for done in (content, flags, rows):
+        discard(done)
     # a window range of a block is a byte range of the text
-    at = rows.select("t1", "t2", "s", "c1", "c2").join(shared, ["c1", "c2"])
+    at = listed.select("t1", "t2", "s", "c1", "c2").join(shared, ["c1", "c2"])
     odd = F.transform("ranges", lambda x, i: x + F.col("s") + F.when(i % 2 == 1, F.lit(length)).otherwise(F.lit(0)))
     by_text = at.select("t1", "t2", odd.alias("ranges")).groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("spans"))  # bounded by a text's length
     by_text = cut(by_text, "by_text", free=True)
-    discard(rows)
+    discard(listed)
+    discard(shared)
     out = distinct.join(by_text, ["t1", "t2"], "left").where((F.col("n") > 1) | F.col("spans").isNotNull())
 
     def run(batches):

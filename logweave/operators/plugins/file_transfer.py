@@ -86,26 +86,23 @@ class Transfer:
             self.data = None
 
 
-def follow(events) -> list[Transfer]:
-    """The transfers of one (ECU, lifecycle, serial): events are (index, event) in order."""
-    out: list[Transfer] = []
-    for index, e in events:
-        now = out[-1] if out else None
-        if e["kind"] == "FLST":
-            if (e["packages"] or 0) > 0 and (e["buffer"] or 0) > 0:
-                out.append(Transfer("Started", e["name"] or "", e["size"] or 0, e["created"] or "", e["packages"], e["buffer"], index))
-        elif e["kind"] == "FLDA":
-            number = -1 if e["package"] is None else e["package"]
-            if now is None and number == 1:
-                now = Transfer("MissingStart", "<missing_flst>", 0, "", UNKNOWN, 0, index)
-                out.append(now)
-            if now is not None:
-                now.add(number, bytes(e["data"] or b""))
-        elif now is not None and e["kind"] == "FLFI":
-            now.end()
-        elif now is not None:
-            now.state, now.code, now.errno, now.data = "Error", e["code"], e["errno"], None
-    return out
+def step(out: list[Transfer], index: int, e: dict) -> None:
+    """Adds one event to the transfers of its (ECU, lifecycle, serial)."""
+    now = out[-1] if out else None
+    if e["kind"] == "FLST":
+        if (e["packages"] or 0) > 0 and (e["buffer"] or 0) > 0:
+            out.append(Transfer("Started", e["name"] or "", e["size"] or 0, e["created"] or "", e["packages"], e["buffer"], index))
+    elif e["kind"] == "FLDA":
+        number = -1 if e["package"] is None else e["package"]
+        if now is None and number == 1:
+            now = Transfer("MissingStart", "<missing_flst>", 0, "", UNKNOWN, 0, index)
+            out.append(now)
+        if now is not None:
+            now.add(number, bytes(e["data"] or b""))
+    elif now is not None and e["kind"] == "FLFI":
+        now.end()
+    elif now is not None:
+        now.state, now.code, now.errno, now.data = "Error", e["code"], e["errno"], None
 
 
 def with_event(msgs: DataFrame, apid: str | None = None, ctid: str | None = None) -> DataFrame:
@@ -128,15 +125,28 @@ def with_event(msgs: DataFrame, apid: str | None = None, ctid: str | None = None
 
 def transfers(msgs: DataFrame, apid: str | None = None, ctid: str | None = None) -> DataFrame:
     """ecu, lifecycle, serial, state, name, size, created, code, errno, first_index and data (of complete ones) of each transfer."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("index")
-        rows = [(i, {k: None if not isinstance(v, (bytes, bytearray)) and pd.isna(v) else v for k, v in e.items()}) for i, e in zip(pdf["index"], pdf["event"], strict=True)]
-        head = pdf.iloc[0]
-        out = [(head["ecu"], head["lifecycle"], head["serial"], t.state, t.name, t.size, t.created, t.code, t.errno, t.first_index, bytes(t.data) if t.state == "Complete" else None) for t in follow(rows)]
-        return pd.DataFrame(out, columns=["ecu", "lifecycle", "serial", "state", "name", "size", "created", "code", "errno", "first_index", "data"])
+    columns = ["ecu", "lifecycle", "serial", "state", "name", "size", "created", "code", "errno", "first_index", "data"]
+
+    def run(parts):
+        # the events of one key come one after another: many keys share a pass, and only one's data is held
+        key, own = None, []
+        ready = lambda: [(*key, t.state, t.name, t.size, t.created, t.code, t.errno, t.first_index, bytes(t.data) if t.state == "Complete" else None) for t in own]
+        for part in parts:
+            rows = []
+            for ecu, lc, serial, index, e in zip(part["ecu"], part["lifecycle"], part["serial"], part["index"], part["event"], strict=True):
+                k = (bytes(ecu), lc, serial)
+                if k != key:
+                    rows += ready() if key else []
+                    key, own = k, []
+                step(own, index, e)
+            yield pd.DataFrame(rows, columns=columns)
+        if key:
+            yield pd.DataFrame(ready(), columns=columns)
 
     e = with_event(msgs, apid, ctid).select("index", "ecu", "lifecycle", F.col("event.serial").alias("serial"), "event").where("serial is not null")
-    return e.groupBy("ecu", "lifecycle", "serial").applyInPandas(run, "ecu binary, lifecycle long, serial long, state string, name string, size long, created string, code long, errno long, first_index long, data binary")
+    keys = ["ecu", "lifecycle", "serial"]
+    e = e.repartition(*keys).sortWithinPartitions(*keys, "index")
+    return e.mapInPandas(run, "ecu binary, lifecycle long, serial long, state string, name string, size long, created string, code long, errno long, first_index long, data binary")
 
 
 def without_data(msgs: DataFrame) -> DataFrame:

@@ -14,10 +14,12 @@ def numbered(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     """df with a dense number from 0 in the given order.
 
     A range sort deals the rows out in order, and each partition's first number is the sum of the counts before it: no
-    partition sees all rows. The rows are sorted once and read twice.
+    partition sees all rows. The sorted rows are persisted: counts and numbers must come from the same ranges, and a second
+    sort would sample other bounds.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number keeps both readings' partitions alike
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    parts = parts.persist()
     parts = parts.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -23,6 +23,7 @@ from .common import cut, shield, table
 
 # ASCII digits and letters and every byte over 0x7F make words; A-Z are lowered, all else separates
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_LOWER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -225,7 +226,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
             texts = []
             for text, spans in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), strict=True):
                 if spans:
-                    place = [m.span() for m in WORD.finditer(text)]
+                    place = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
                     keep, last = [], 0
                     for s, e in zip(spans[::2], spans[1::2], strict=True):
                         keep.append(text[last : place[s][0]])

@@ -222,10 +222,8 @@ def _union(ranges: list[int]) -> list[list[int]]:
     return out
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Of each distinct text that loses bytes: t1, t2, n (its rows), text and spans (starts and ends of byte ranges, in turn)."""
-    import pyarrow as pa
-
+def _found(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """Of each distinct text that loses bytes: t1, t2, n (its rows), text and spans (ranges as found, unmerged; null where only equal texts say so)."""
     texts = docs.select("text", F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2")).where(F.octet_length("text") >= length)
     found = cut(anchors(texts, length, gram), "anchors")
     twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
@@ -258,14 +256,25 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     discard(shared)
     out = distinct.join(by_text, ["t1", "t2"], "left").where((F.col("n") > 1) | F.col("spans").isNotNull())
 
+    return out.select("t1", "t2", "n", "text", "spans")
+
+
+def _whole(n: int, size: int, ranges: list[int] | None) -> list[int]:
+    """The byte ranges that a text of size bytes loses: starts and ends in turn."""
+    return [0, size] if n > 1 else [x for r in _union(ranges) for x in r]
+
+
+def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Of each distinct text that loses bytes: t1, t2, n (its rows), text and spans (starts and ends of byte ranges, in turn)."""
+    import pyarrow as pa
+
     def run(batches):
         for b in batches:
-            n, text, ranges = b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist()
-            sizes = np.diff(raw_bytes(text)[1]).tolist()
-            merged = [[x for r in ([[0, size]] if rows_ > 1 else _union(own)) for x in r] for rows_, size, own in zip(n, sizes, ranges, strict=True)]
+            sizes = np.diff(raw_bytes(b.column(3))[1]).tolist()
+            merged = [_whole(*x) for x in zip(b.column(2).to_pylist(), sizes, b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(merged, pa.list_(pa.int64()))], names=["t1", "t2", "n", "text", "spans"])
 
-    return out.select("t1", "t2", "n", "text", "spans").mapInArrow(run, "t1 long, t2 long, n long, text string, spans array<long>")
+    return _found(docs, length).mapInArrow(run, "t1 long, t2 long, n long, text string, spans array<long>")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -277,8 +286,9 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for b in batches:
             rows: list[list] = [[], [], []]
-            for text, own in zip(b.column(3), b.column(4).to_pylist(), strict=True):
+            for n, text, ranges in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
+                own = _whole(n, len(raw), ranges.as_py())
                 sha, last = hashlib.sha256(), 0
                 for x, y in zip(own[::2], own[1::2], strict=True):
                     sha.update(raw[last:x])
@@ -288,7 +298,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=["t1", "t2", "removed", "pieces", "sha"])
 
-    found = cut(spans(docs, length).mapInArrow(run, "t1 long, t2 long, removed long, pieces long, sha string"), "digests", free=True)
+    found = cut(_found(docs, length).mapInArrow(run, "t1 long, t2 long, removed long, pieces long, sha string"), "digests", free=True)
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     out = own.join(found, ["t1", "t2"], "left")

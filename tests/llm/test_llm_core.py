@@ -332,7 +332,7 @@ def test_repeats_match_brute_force(spark, monkeypatch, hot):
         s = rng.randrange(300)
         texts[b] = texts[b][:200] + texts[a][s : s + rng.choice([199, 200, 201, 333])] + texts[b][200:]
     texts += ["a" * 500, "a" * 199, "ab" * 100, "ä" * 120, texts[0], texts[0], "", None, "short", prose(rng, 9000) + texts[3]]
-    monkeypatch.setattr(repeats.spans, "__defaults__", (repeats.LENGTH, repeats.GRAM, hot))
+    monkeypatch.setattr(repeats._found, "__defaults__", (repeats.LENGTH, repeats.GRAM, hot))
     monkeypatch.setattr(repeats, "PIECE", 5000)
     df = docs_of(spark, enumerate(texts))
     got = {r["doc_id"]: r for r in repeats.digests(df).collect()}

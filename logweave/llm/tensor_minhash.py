@@ -26,6 +26,8 @@ from .common import BYTE_CODE, MULT, checked, chunks, cut, mix, n_parts, powers,
 
 HALF, K = 10, 3
 MAX_BROADCAST = 200_000
+BLOCK = 4_000  # rows of a shingle that one side of a task holds
+SKETCH, BITS = 1 << 16, 1024
 
 _is_space = np.zeros(256, bool)
 _is_space[[9, 10, 11, 12, 13, 32]] = True
@@ -181,6 +183,112 @@ def neighbours(label: DataFrame, classes: DataFrame, seed: int, orders: int = 3,
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def rarity(texts: DataFrame, size: int) -> np.ndarray:
+    """Counts of shingles by the first 16 bits of their hash, from a quarter of texts (id, component, text); it only orders shingles, so that any counts are right."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for s in _shingled(batch.column(0), size):
+                total += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(SKETCH, np.int64)
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(4)) == 0).select("text").mapInArrow(run, "at long, n long")
+    for r in some.groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # at most SKETCH rows
+        out[r["at"]] = r["n"]
+    return out
+
+
+def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rarest shingles of texts (id, component, text), one of which two similar sets share: shingle, id, component, n, pos and, at pos 0, a parity bitmap of the set."""
+    import pyarrow as pa
+
+    count = rarity(texts, size)
+
+    def run(batches):
+        for batch in batches:
+            shingle, n, pos, row, bits = [], [], [], [], []
+            for i, s in enumerate(_shingled(batch.column(2), size)):
+                m = len(s)
+                length = m + (-percent * m // 100) + 1
+                if not m:
+                    continue
+                shingle.append(s[np.lexsort((s, count[(s >> np.uint64(48)).astype(np.int64)]))[:length]])
+                pos.append(np.arange(length))
+                row.append(np.full(length, i))
+                n.append(np.full(length, m))
+                odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                bits += [np.packbits(odd.astype(np.uint8)).tobytes(), *[None] * (length - 1)]
+            if row:
+                at = pa.array(np.concatenate(row))
+                out = [pa.array(np.concatenate(shingle).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(n)), pa.array(np.concatenate(pos)), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=["shingle", "id", "component", "n", "pos", "bits"])
+
+    return texts.select("id", "component", "text").mapInArrow(run, "shingle long, id long, component long, n long, pos long, bits binary")
+
+
+def exhaustive(label: DataFrame, docs: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) of the ids of label (key, id, component) in different components that may be similar.
+
+    Sets that share t shingles share one among the first n - t + 1 of either in a common order (prefix filter), and differ in
+    as many shingles at least as their parity bitmaps in bits; no similar pair fails these tests.
+    """
+    import pyarrow as pa
+
+    texts = label.select("id", "component").distinct().join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = cut(prefixes(texts, size, percent), "prefixes")
+    least = F.ceil(2 * percent * F.col("n") / (100 + percent))  # shared with a set of its size or more
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.col("pos") <= F.col("n") - least).alias("low"))
+    shared = shared.where("c1 != c2 and low").select("shingle", F.ceil(F.col("held") / block).alias("blocks"))
+    some = rows.drop("bits").join(shared, "shingle").join(rows.where("pos = 0").select("id", "bits"), "id")
+    some = some.withColumn("salt", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = ["shingle", "i", "j"]
+    some = some.select("shingle", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "component", "n", "pos", "bits")
+    some = some.repartition(n_parts(label.sparkSession), *key).sortWithinPartitions(*key)
+
+    def pairs(t):
+        s, i, j, salt, ids, c, n, pos = (t.column(k).to_numpy() for k in range(8))
+        bits = raw_bytes(t.column(8))[0].reshape(-1, BITS // 8).view(np.uint64)
+        out = [np.zeros((2, 0), np.int64)]
+        at, d = np.arange(len(s)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < len(s)]
+            at = at[(s[at] == s[at + d]) & (i[at] == i[at + d]) & (j[at] == j[at + d])]
+            x, y = at, at + d
+            good = (c[x] != c[y]) & ((i[x] == j[x]) | (salt[x] != salt[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[good], y[good]
+            least = -(-percent * (n[x] + n[y]) // (100 + percent))
+            good = (pos[x] <= n[x] - least) & (pos[y] <= n[y] - least)
+            x, y, least = x[good], y[good], least[good]
+            good = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= n[x] + n[y] - 2 * least
+            x, y = ids[x[good]], ids[y[good]]
+            out.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+        a, b = np.unique(np.concatenate(out, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            same = np.ones(len(t), bool)
+            for k in range(3):
+                v = t.column(k).to_numpy()
+                same &= v == v[-1:]
+            split = len(t) - int(same.sum())  # the last group may go on in the next batch
+            if split:
+                yield pairs(t.slice(0, split))
+            held = t.slice(split)
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return some.mapInArrow(run, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, size: int = 2, percent: int = 80, half: int = HALF, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     sigs = cut(signatures(docs, size, half, k), "signatures")
@@ -207,6 +315,11 @@ def links(docs: DataFrame, size: int = 2, percent: int = 80, half: int = HALF, k
             break
         edges, pairs, seed = edges.union(extra), pairs.union(more), seed + 1
         found = components(edges)
+    if label.limit(1).count():
+        rest = cut(exhaustive(label, docs, size, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
+        extra = cut(confirm(rest, docs, size, percent), "confirmed", free=True)
+        if extra.limit(1).count():
+            found = components(edges.union(extra))
     by_class = ids.join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(by_class, ["s1", "s2"], "left")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

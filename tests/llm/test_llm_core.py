@@ -232,6 +232,29 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in tensor_minhash.links(odd).collect()) == [(False, 1), (False, 1), (True, None)]
 
 
+@pytest.mark.parametrize("block", [10, 4000])
+def test_near_duplicates_in_a_template_group_need_no_luck(spark, monkeypatch, block):
+    rng = random.Random(15)
+    base = [f"t{i}" for i in range(220)]
+    texts = {}
+    for i in range(160):  # about 0.75 alike, but for the pairs planted
+        w = list(base)
+        for k in rng.sample(range(1, 219), 15 + i % 3):
+            w[k] = f"u{i}x{k}"
+        texts[i] = " ".join(w)
+    for i in range(100, 120):
+        w = texts[i].split()
+        for k in rng.sample(range(1, 219), 10):
+            w[k] = f"v{i}x{k}"
+        texts[i + 200] = " ".join(w)
+    monkeypatch.setattr(tensor_minhash, "neighbours", lambda label, *a: label.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(tensor_minhash.exhaustive, "__defaults__", (block,))
+    df = docs_of(spark, texts.items())
+    want = brute_components(texts)
+    assert len({c for _, c in want.values()}) > 100
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tensor_minhash.links(df).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201)], "a long, b long")
     got = {r["id"]: r["component"] for r in tensor_minhash.components(edges).collect()}

@@ -201,13 +201,15 @@ def compare_hot(rows: DataFrame, length: int) -> DataFrame:
             for a in range(0, b.num_rows, 5000):
                 t = b.slice(a, 5000)
                 g, off, c1, c2 = (t.column(i).to_numpy() for i in range(4))
+                sure = t.column(5).to_numpy(zero_copy_only=False)
                 block, place, h = columns(g, off, t.column(4), length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c1[block]), pa.array(c2[block]), pa.array(place.astype(np.int32))], names=["h", "c1", "c2", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c1[block]), pa.array(c2[block]), pa.array(place.astype(np.int32)), pa.array(sure[block])], names=["h", "c1", "c2", "place", "sure"])
 
     sure = rows.where("sure").select("c1", "c2", F.array(F.lit(0), F.length("block") - length).alias("ranges"))
-    windows = rows.select("g", "off", "c1", "c2", "block").mapInArrow(explode, "h long, c1 long, c2 long, place int")
+    windows = rows.select("g", "off", "c1", "c2", "block", "sure").mapInArrow(explode, "h long, c1 long, c2 long, place int, sure boolean")
     twice = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    marked = windows.join(twice, "h").groupBy("c1", "c2").agg(F.array_sort(F.collect_set("place")).alias("places"))  # at most length - gram + 1
+    # a sure block counts for the others, but has its row already
+    marked = windows.where("not sure").join(twice, "h").groupBy("c1", "c2").agg(F.array_sort(F.collect_set("place")).alias("places"))  # at most length - gram + 1
     pairs = marked.select("c1", "c2", F.flatten(F.transform("places", lambda p: F.array(p, p))).alias("ranges"))
     return sure.union(pairs)
 

@@ -368,6 +368,18 @@ def test_repeats_match_brute_force(spark, monkeypatch, hot):
     assert repeats.digests(df.limit(0)).count() == 0
 
 
+def test_a_sure_block_of_a_hot_anchor_keeps_its_whole_range(spark):
+    rng = random.Random(16)
+    text = prose(rng, 80)[:260].encode()
+    other, alone = text[:220] + b"#" * 40, prose(rng, 80)[:260].encode()
+    rows = [(1, 0, 1, 1, text, True), (1, 0, 2, 2, other, False), (1, 0, 3, 3, alone, False)]
+    df = spark.createDataFrame([(g, o, a, b, bytearray(x), y) for g, o, a, b, x, y in rows], "g long, off int, c1 long, c2 long, block binary, sure boolean")
+    hot = [(r["c1"], repeats._union(r["ranges"])) for r in repeats.compare_hot(df, 200).collect()]
+    calm = [(r["c1"], repeats._union(r["ranges"])) for r in repeats.compare(df.repartition("g").sortWithinPartitions("g"), 200).collect()]
+    merge = lambda found: sorted((c, min(x for x, _ in r), max(y for _, y in r)) for c, r in found)
+    assert merge(hot) == merge(calm) == [(1, 0, 60), (2, 0, 20)]
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 

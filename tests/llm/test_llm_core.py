@@ -310,6 +310,13 @@ def test_suffix_classes_are_ranks_of_substrings():
     assert sorted(order.tolist()) == list(range(200))
 
 
+def test_two_short_phrases_side_by_side_are_no_repeated_run():
+    pages = [[1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4, 20, 21], [22, 1, 2, 3, 4, 23], [5, 6, 7, 8, 24, 25], [26, 27, 5, 6, 7, 8], *[[31, 32, 33, 34, 35, 36, 40 + i] for i in range(3)]]
+    tokens = np.array([t for i, p in enumerate(pages) for t in [*p, -1 - i]])
+    page = np.array([x for i, p in enumerate(pages) for x in [*[i] * len(p), -1]])
+    assert set(tokens[host_suffixes.repeated(tokens, page, 6, 3)].tolist()) == {31, 32, 33, 34, 35, 36}
+
+
 # --- licences -------------------------------------------------------------------------------------
 
 

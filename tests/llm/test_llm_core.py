@@ -310,6 +310,14 @@ def test_suffix_classes_are_ranks_of_substrings():
     assert sorted(order.tolist()) == list(range(200))
 
 
+def test_runs_of_a_host_are_found_over_its_shards(spark):
+    rng = random.Random(17)
+    pages = [(i, "http://big/", f"<div>{prose(rng, 40)} {' '.join(f'n{i // 3}w{k}' for k in range(8))} z{i}</div>") for i in range(30)]
+    streams = host_suffixes.outside(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    found = [{(r["k1"], r["k2"]): r["gone"] for r in host_suffixes.host_runs(streams, shard_tokens=n).collect()} for n in (400_000, 200)]
+    assert found[0] == found[1] and len(found[0]) == 30
+
+
 def test_two_short_phrases_side_by_side_are_no_repeated_run():
     pages = [[1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4, 20, 21], [22, 1, 2, 3, 4, 23], [5, 6, 7, 8, 24, 25], [26, 27, 5, 6, 7, 8], *[[31, 32, 33, 34, 35, 36, 40 + i] for i in range(3)]]
     tokens = np.array([t for i, p in enumerate(pages) for t in [*p, -1 - i]])

@@ -3,8 +3,9 @@
 A line (trimmed, hashed to 128 bits) that stands on `min_sites` sites or more is boilerplate. Lines that occur in fewer
 than min_sites rows can't be (an aggregated count with partial sums rules them out); for the others a HyperLogLog sketch of
 the sites is built by aggregation. Estimates clearly over or under min_sites decide; those within the sketch's error of it
-are counted exactly. Boilerplate lines are then removed; a document of which they make more than max_share is a copied
-document rather than a page with boilerplate and stays as it is, for near-duplicate removal to deal with.
+are counted exactly. Boilerplate lines are then removed, whatever share of a document they make. A document without any
+other line that isn't blank is a copied document rather than a page with boilerplate and stays as it is, for near-duplicate
+removal to deal with.
 
 Edge cases: null texts have no lines and stay null; the empty text has one empty line; blank lines are never boilerplate;
 a null source is no site; repeated rows are cleaned each; equal lines in one document count once by site; extra columns
@@ -47,7 +48,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10) -> D
     return cut(sure.union(exact.where(F.col("sites") >= min_sites).select(*KEYS)), "boilerplate")
 
 
-def clean(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
     """docs with text cleaned, and n_lines and n_removed (long)."""
     flagged = boilerplate(docs, site, min_sites)
     # what is removed depends on the text alone, so a 128-bit hash of the text, with doc_id for an even spread, is the key
@@ -59,7 +60,7 @@ def clean(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share:
     every = F.split("text", "\n")
     kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_places", i)), "\n")
     out = out.withColumn("_kept", F.when(F.col("_places").isNotNull(), kept))
-    take = F.col("_kept").isNotNull() & (F.length("_kept") >= (1 - max_share) * F.length("text"))
+    take = F.col("_kept").isNotNull() & F.exists(F.split("_kept", "\n"), lambda x: F.trim(x) != "")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(every))
     return out.select(
         *[F.when(take, F.col("_kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in own],
@@ -68,10 +69,10 @@ def clean(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share:
     )
 
 
-def strip(docs: DataFrame, site: str = "source", min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
+def strip(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
     """docs, with the same columns, without boilerplate lines; n_chars, where there is one, is the cleaned text's."""
     renamed, restore = shield(docs, ("n_lines", "n_removed"))
-    out = clean(renamed, site, min_sites, max_share)
+    out = clean(renamed, site, min_sites)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return restore(out).select(*docs.columns)

@@ -184,6 +184,14 @@ def test_line_spread_matches_exact_counts(spark):
     assert line_spread.strip(df).columns == df.columns and line_spread.clean(df.limit(0)).count() == 0
 
 
+def test_boilerplate_goes_whatever_its_share(spark):
+    common = "one long line that every site of this small collection shows"
+    rows = [(i, f"{common}\nown {i}", f"site{i}") for i in range(12)] + [(20, f"{common}\n \n{common}", "site1")]
+    out = {r["doc_id"]: r for r in line_spread.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((out[i]["text"], out[i]["n_removed"]) == (f"own {i}", 1) for i in range(12))
+    assert (out[20]["text"], out[20]["n_removed"]) == (rows[-1][1], 0)
+
+
 # --- near-duplicates ------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 Token counts are summed to cells (source, language, topic). The cells' weights are raked: in each iteration they are scaled
 so that the sums by source, then by language, then by topic match the target shares. A document is kept with the probability
-raked tokens / own tokens of its cell (at most 1), by a hash of its doc_id, so that the choice is repeatable.
+raked tokens / own tokens of its cell, by a hash of its doc_id, so that the choice is repeatable. Where that is over 1,
+the weights are raked again under the bound that no cell gives more tokens than it has: what cells at the bound can't give,
+the others of the same value give instead, until every dimension is met, or as near as its tokens allow.
 
 Targets are tables (value, share); where none is given, a dimension's own token shares are tempered by the exponent
 `temper` (below 1 raises small values). Every iteration is written out, so that lineage stays short.
@@ -23,6 +25,7 @@ from .common import checked, cut, table
 
 DIMS = ("source", "lang", "topic")
 ITERATIONS = 8
+ROUNDS, NEAR = 30, 1e-4  # of bounded raking: at most so many, until no share is further from its target
 KEEP = 0.5
 TEMPER = 0.7
 MAX_BROADCAST = 100_000
@@ -47,8 +50,11 @@ def _same(a: DataFrame, b: DataFrame, dims) -> Column:
     return reduce(lambda x, y: x & y, [a[d].eqNullSafe(b[f"_{d}"]) for d in dims])
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, iterations: int = ITERATIONS, temper: float = TEMPER) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: shares of 1 that match the target shares of every dimension."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, iterations: int = ITERATIONS, temper: float = TEMPER, keep: float = 0.0) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight: shares of 1 that match the target shares of every dimension.
+
+    keep: no weight is over the cell's share of the tokens divided by keep (0: no bound).
+    """
     targets = dict(targets or {})
     for d in DIMS:
         if d not in targets:
@@ -64,7 +70,37 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, iteratio
             scale = now.join(t, now[f"_{d}"].eqNullSafe(t[f"_t_{d}"])).select(f"_{d}", (F.col("share") / F.nullif("now", F.lit(0.0))).alias("scale"))
             w = w.join(scale, _same(w, scale, [d])).select(*DIMS, "tokens", (F.col("weight") * F.coalesce("scale", F.lit(0.0))).alias("weight"))
         w = cut(w, f"raked{i}")
-    return w
+    return within(w, targets, keep) if keep > 0 else w
+
+
+def within(w: DataFrame, targets: dict[str, DataFrame], keep: float) -> DataFrame:
+    """The cells w (with weight) raked on to the targets (_dimension, share), no weight over tokens / (keep * all tokens)."""
+    total = w.agg((keep * F.sum("tokens")).alias("total"))
+    most = F.coalesce(F.col("tokens") / F.nullif("total", F.lit(0.0)), F.lit(0.0))
+    w = cut(w.crossJoin(F.broadcast(total)).select(*DIMS, "tokens", "weight", most.alias("most")), "bounded")  # one row
+    if not w.where("weight > most").limit(1).count():
+        return w.drop("most")
+    w = w.withColumn("weight", F.least("weight", "most"))
+    for i in range(ROUNDS):
+        for d in DIMS:
+            now = w.groupBy(F.col(d).alias(f"_{d}")).agg(
+                F.sum("weight").alias("now"),
+                F.sum(F.when(F.col("weight") >= F.col("most"), F.col("most")).otherwise(0.0)).alias("fixed"),
+                F.sum(F.when(F.col("weight") >= F.col("most"), 0.0).otherwise(F.col("weight"))).alias("free"),
+            )
+            t = targets[d].withColumnRenamed(f"_{d}", f"_t_{d}")
+            down, up = F.col("share") / F.nullif("now", F.lit(0.0)), (F.col("share") - F.col("fixed")) / F.nullif("free", F.lit(0.0))
+            scale = F.when(F.col("now") >= F.col("share"), down).otherwise(F.coalesce(up, F.lit(1.0)))  # 1: all that there is
+            scale = now.join(t, now[f"_{d}"].eqNullSafe(t[f"_t_{d}"])).select(f"_{d}", scale.alias("scale"))
+            w = w.join(scale, _same(w, scale, [d])).select(*DIMS, "tokens", "most", F.least("most", F.col("weight") * F.coalesce("scale", F.lit(0.0))).alias("weight"))
+        w = cut(w, f"bounded{i}")
+        off = []
+        for d in DIMS:
+            now = w.groupBy(d).agg(F.sum("weight").alias("now"))
+            off.append(now.join(targets[d], now[d].eqNullSafe(targets[d][f"_{d}"])).select(F.abs(F.col("now") - F.col("share")).alias("off")))
+        if not reduce(DataFrame.union, off).where(F.col("off") > NEAR).limit(1).count():
+            break
+    return w.drop("most")
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, iterations: int = ITERATIONS, temper: float = TEMPER, topic=form, seed: str = "mix") -> DataFrame:
@@ -74,7 +110,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     d = d.withColumn("topic", topic(F.col("text"), F.col("n_tokens")))
     cells = cut(d.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens").alias("total"))
-    raked = rake(cells, targets, iterations, temper).crossJoin(F.broadcast(total))  # one row
+    raked = rake(cells, targets, iterations, temper, keep).crossJoin(F.broadcast(total))  # one row
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), keep * F.col("weight") * F.col("total") / F.col("tokens"))).otherwise(0.0)
     raked = cut(raked.select(*[F.col(x).alias(f"_{x}") for x in DIMS], p.alias("probability")), "probabilities")
     # the first 52 bits of a hash as a number from 0 to 1

@@ -421,6 +421,18 @@ def test_raking_meets_all_marginals_and_sampling_follows(spark):
     assert None not in {r["doc_id"] for r in rows}  # its cell has no tokens
 
 
+def test_what_a_full_cell_cannot_give_others_give(spark):
+    rows = [("a", "en", "long", 100), ("a", "de", "long", 900), ("b", "en", "long", 800), ("b", "de", "long", 200), ("b", "de", "short", 0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
+    targets = {"source": share(a=0.5, b=0.5), "lang": share(en=0.55, de=0.45), "topic": share(long=1.0, short=0.0)}
+    out = mixing.rake(cells, targets, keep=0.7).collect()
+    assert all(0.7 * r["weight"] * 2000 <= r["tokens"] * (1 + 1e-9) for r in out)
+    for d, v, want in (("source", "a", 0.5), ("source", "b", 0.5), ("lang", "en", 0.55), ("lang", "de", 0.45)):
+        assert abs(sum(r["weight"] for r in out if r[d] == v) - want) < 1e-3
+    assert any(0.7 * r["weight"] * 2000 > r["tokens"] for r in mixing.rake(cells, targets).collect())
+
+
 # --- all ------------------------------------------------------------------------------------------
 
 

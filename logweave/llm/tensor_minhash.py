@@ -332,9 +332,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component (repeated doc_ids once)."""
-    found = links(docs, size, percent).where("doc_id = component_id or doc_id is null").select("doc_id").dropDuplicates(["doc_id"])
-    kept = docs.join(found.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs without those that have a smaller doc_id in their component (repeated rows once).
+
+    Where one doc_id has several texts, all but one count as having ids beyond all others, so that none is lost for its id.
+    """
+    own = F.xxhash64("doc_id", "text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("_first"), F.max(own).alias("_last"))
+    several = cut(several.where("_first != _last").select("doc_id", "_first"), "several")
+    key = F.when(F.col("_first").isNull() | (own == F.col("_first")), F.col("doc_id")).otherwise(own.bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
+    keyed = docs.join(checked(several, MAX_BROADCAST), "doc_id", "left").withColumn("_key", key)
+    found = links(keyed.select(F.col("_key").alias("doc_id"), "text"), size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    kept = keyed.join(found, "_key", "left_semi").dropDuplicates(["_key"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 

@@ -240,6 +240,13 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in tensor_minhash.links(odd).collect()) == [(False, 1), (False, 1), (True, None)]
 
 
+def test_different_texts_of_one_doc_id_stay(spark):
+    rng = random.Random(18)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    kept = tensor_minhash.keep_one(docs_of(spark, [(1, a), (1, b), (1, c), (1, a), (2, b), (3, c), (4, a)])).collect()
+    assert sorted(r["text"] for r in kept) == sorted([a, b, c])
+
+
 @pytest.mark.parametrize("block", [10, 4000])
 def test_near_duplicates_in_a_template_group_need_no_luck(spark, monkeypatch, block):
     rng = random.Random(15)

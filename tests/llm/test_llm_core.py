@@ -268,6 +268,9 @@ def test_near_duplicates_in_a_template_group_need_no_luck(spark, monkeypatch, bl
     want = brute_components(texts)
     assert len({c for _, c in want.values()}) > 100
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tensor_minhash.links(df).collect()} == want
+    # one table, whose buckets hold many: stars alone link next to nothing
+    got = {r["doc_id"]: r["component_id"] for r in tensor_minhash.links(df, half=1, k=1).collect()}
+    assert sum(got[i] == got[i + 200] for i in range(100, 120)) >= 8
 
 
 def test_components_of_a_long_chain(spark):

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import atexit
 import gc
+import json
 import shutil
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: dict[int, str] = {}  # paths of the tables that cut() returned
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,6 +43,8 @@ def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
     if free:
         release(spark)
     return out
@@ -53,10 +58,14 @@ def release(spark: SparkSession) -> None:
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that cut() wrote and that nothing reads any more."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/logweave-" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path := _written.pop(id(df), None):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from a literal, so that no Python worker reads it."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -140,3 +149,18 @@ def shield(df: DataFrame, names: tuple[str, ...]):
 def checked(small: DataFrame, max_rows: int) -> DataFrame:
     """small with a broadcast hint if it has at most max_rows rows, else as it is: the join then shuffles. Call on cut tables: it counts."""
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", n: str = "n", parts: int = 1000) -> DataFrame:
+    """left joined with right (a cut table of one row a key, with column n: the rows of left that have the key).
+
+    Keys with over 1 / parts of all that n counts, of which there are under `parts`, are broadcast, so that their rows stay
+    where they are; the others go through the shuffle, where none of them can fill a task.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.where(F.col(n) * parts > total)
+    if how == "left":
+        rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) * parts <= total), keys, "left")
+    else:
+        rest = left.join(right.where(F.col(n) * parts <= total), keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)

@@ -13,7 +13,6 @@ alphabetically first; repeated rows are scanned each; extra columns pass through
 
 from __future__ import annotations
 
-import json
 import math
 import random
 from functools import cache
@@ -22,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import literal, table
 
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
@@ -129,16 +128,11 @@ def classify(line: str) -> tuple[str, float, float]:
     return families[best], e[best] / sum(e), share
 
 
-def _literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A small table from a literal, so that no Python worker reads it."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
-
-
 def scan(docs: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """pos, line, family, probability, overlap, confirmed of each line predicted to be a licence, with the other columns of docs."""
     spark = docs.sparkSession
     families, weights, bias = model()
-    table_ = F.broadcast(_literal(spark, [{"gram": g, "w": w} for g, w in weights.items()], "gram string, w array<double>"))
+    table_ = F.broadcast(literal(spark, [{"gram": g, "w": w} for g, w in weights.items()], "gram string, w array<double>"))
     own = [c for c in docs.columns if c not in ("text", "pos", "line", "family", "probability", "overlap", "confirmed")]
     cued = docs.where(F.col("text").rlike(CUE)).select(F.struct(*own).alias("own") if own else F.lit(0).alias("own"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(CUE))
     # one row for each distinct line: what repeats is classified once
@@ -154,7 +148,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= threshold))
     # template comparison on word pairs
     notices = [{"family": f, "pairs": [g for g in grams(t) if " " in g]} for f, texts in NOTICES.items() for t in texts]
-    notice = F.broadcast(_literal(spark, notices, "family string, pairs array<string>"))
+    notice = F.broadcast(literal(spark, notices, "family string, pairs array<string>"))
     pairs = F.filter(gram_column(F.col("line")), lambda g: g.contains(" "))
     compared = lines.join(scored, ["h1", "h2"]).join(notice, "family").withColumn("own_pairs", pairs)
     both = F.size(F.array_intersect("own_pairs", "pairs"))

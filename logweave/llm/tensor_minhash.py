@@ -3,17 +3,19 @@
 `half` + `half` collections of `k` minhashes each give half * half tables, whose keys pair one collection of either side:
 2 * half * k minhashes serve half^2 tables of 2k rows. Texts of equal shingle sets are one class from the start. In each
 table a class is paired with the smallest class of its bucket, candidates are confirmed on the full shingle sets, and the
-links give components. Buckets that then still hold several components are gone over again: in each, classes are put in
-the order of other parts of their signatures, where similar ones come to stand side by side, and neighbours of different
-components are confirmed. This is done with new orders until a round finds no link any more. All rounds make pairs in
-proportion to the rows of the buckets, however large a bucket is.
+links give components. What is in one component with the rest of its bucket is done; the other buckets go through `rounds`
+more hubs each, and what is still mixed then, which is mostly texts that are not similar, through an exact join: a prefix
+filter on the rarest shingles and a bitmap bound leave out only pairs that cannot be similar, and all others are confirmed.
+So every pair that shares a table is confirmed, lies in one component, or is proven to be no link. No pairs are made within
+a group that is one component, however large it is.
 
 Chance that a link of similarity 0.8 shares no table: with half = 10 and k = 3, 1 - (1 - (1 - 0.8^3)^10)^2 = 0.0015; at 0.9
 it is 4e-6.
 
 Edge cases: null and empty texts, and texts without words, have no shingles and are linked with nothing; a text of fewer
-words than a shingle is one shingle; rows of a null doc_id are their own component (null); repeated doc_ids count as one
-document with the smallest set hash's shingle count each kept; extra columns are not read by links().
+words than a shingle is one shingle; rows of a null doc_id are their own component (null); rows of one doc_id are rows each,
+with their own text's set and component (pairs name the id, and are confirmed on any of its texts); extra columns are not
+read by links().
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, MULT, checked, chunks, cut, mix, n_parts, powers, prefix_hash, raw_bytes, table
+from .common import BYTE_CODE, MULT, checked, chunks, cut, discard, mix, n_parts, powers, prefix_hash, raw_bytes, skew_join, table
 
 HALF, K = 10, 3
 MAX_BROADCAST = 200_000
+ROUNDS = 3  # of hubs, before the exact join
 BLOCK = 4_000  # rows of a shingle that one side of a task holds
 SKETCH, BITS = 1 << 16, 1024
 
@@ -155,32 +158,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def neighbours(label: DataFrame, classes: DataFrame, seed: int, orders: int = 3, depth: int = 4) -> DataFrame:
-    """Pairs (a, b) of different components side by side in their bucket, in each of some orders.
+def neighbours(label: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's hub, another one for each seed, with the bucket's classes of other components; label: key, id, component."""
+    hub = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(seed)))
+    hubs = label.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("n")).select("key", F.col("hub.id").alias("h"), F.col("hub.component").alias("hc"), "n")
+    both = skew_join(label, cut(hubs, f"hubs{seed}"), ["key"]).where("component != hc")
+    return both.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
 
-    label: key, id, component. A range sort deals out the rows, so that a large bucket spreads over tasks.
-    """
-    import pyarrow as pa
-
-    rows = label.join(classes.select("id", F.concat("u", "v").alias("sig")), "id").withColumn("turn", F.explode(F.array(*map(F.lit, range(orders)))))
-    pick = lambda t: F.element_at("sig", (F.pmod(F.xxhash64("key", F.lit(seed), "turn", F.lit(t)), F.size("sig")) + 1).cast("int"))
-    order = ["key", "turn", *(f"w{t}" for t in range(depth)), "id"]
-    rows = rows.withColumns({f"w{t}": pick(t) for t in range(depth)}).select(*order, "component")
-    rows = rows.repartitionByRange(n_parts(label.sparkSession), *order).sortWithinPartitions(*order).select("key", "turn", "id", "component")
-
-    def run(batches):
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
-            x = x if last is None else np.concatenate((last, x), 1)
-            last = x[:, -1:]
-            at = np.flatnonzero((x[0, 1:] == x[0, :-1]) & (x[1, 1:] == x[1, :-1]) & (x[3, 1:] != x[3, :-1]))
-            a, b = x[2, at], x[2, at + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of the documents with one of ids (id, no repeats)."""
+    return docs.select("doc_id", "text").join(checked(ids.select(F.col("id").alias("doc_id")), MAX_BROADCAST), "doc_id", "left_semi")
 
 
 def rarity(texts: DataFrame, size: int) -> np.ndarray:
@@ -242,8 +230,9 @@ def exhaustive(label: DataFrame, docs: DataFrame, size: int, percent: int, block
     rows = cut(prefixes(texts, size, percent), "prefixes")
     least = F.ceil(2 * percent * F.col("n") / (100 + percent))  # shared with a set of its size or more
     shared = rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.col("pos") <= F.col("n") - least).alias("low"))
-    shared = shared.where("c1 != c2 and low").select("shingle", F.ceil(F.col("held") / block).alias("blocks"))
-    some = rows.drop("bits").join(shared, "shingle").join(rows.where("pos = 0").select("id", "bits"), "id")
+    shared = shared.where("c1 != c2 and low").select("shingle", "held", F.ceil(F.col("held") / block).alias("blocks"))
+    shared = cut(shared.withColumnRenamed("held", "n_held"), "shared")
+    some = skew_join(rows.drop("bits"), shared, ["shingle"], n="n_held").join(rows.where("pos = 0").select("id", "bits"), "id")
     some = some.withColumn("salt", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     key = ["shingle", "i", "j"]
     some = some.select("shingle", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "component", "n", "pos", "bits")
@@ -289,39 +278,40 @@ def exhaustive(label: DataFrame, docs: DataFrame, size: int, percent: int, block
     return some.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, size: int = 2, percent: int = 80, half: int = HALF, k: int = K) -> DataFrame:
+def links(docs: DataFrame, size: int = 2, percent: int = 80, half: int = HALF, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     sigs = cut(signatures(docs, size, half, k), "signatures")
     some = sigs.where("n_shingles > 0 and doc_id is not null")
     # texts of equal sets are one class, which its smallest doc_id stands for
-    ids = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
+    ids = cut(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "ids")
     classes = cut(some.join(ids, (some["doc_id"] == ids["id"]) & (some["s1"] == ids["s1"]) & (some["s2"] == ids["s2"])).select("id", "u", "v").dropDuplicates(["id"]), "classes")
     keys = band_keys(classes)
     buckets = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low != high"), "buckets")
-    large = buckets.where("n > 2").select("key", "low")
-    members = cut(keys.join(checked(large, MAX_BROADCAST), "key"), "members")
+    large = cut(buckets.where("n > 2").select("key", "low", "n"), "large")
+    members = cut(skew_join(keys, large, ["key"]).select("key", "id", "low"), "members")
     stars = buckets.select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     pairs = cut(stars.distinct(), "stars")
-    edges = cut(confirm(pairs, docs, size, percent), "confirmed")
-    found, seed = components(edges), 0
-    while True:
+    texts = cut(texts_of(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired"), docs), "texts")
+    edges = cut(confirm(pairs, texts, size, percent), "confirmed", free=True)
+    discard(buckets)
+    found = components(edges)
+    for seed in range(rounds + 1):
         label = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        label = cut(label, f"labels{seed}")
-        mixed = label.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
-        label = label.join(checked(cut(mixed, f"mixed{seed}"), MAX_BROADCAST), "key", "left_semi")
-        more = cut(neighbours(label, classes, seed).join(pairs, ["a", "b"], "left_anti"), f"more{seed}")
-        extra = cut(confirm(more, docs, size, percent), f"confirmed{seed}", free=True)
-        if not extra.limit(1).count():
+        mixed = label.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 != c2").select("key", "n")
+        rest = cut(skew_join(label, cut(mixed, f"mixed{seed}"), ["key"]).select("key", "id", "component"), f"rest{seed}")
+        discard(members)  # what is in one component needs no more rounds
+        members = rest
+        if not rest.limit(1).count():
             break
-        edges, pairs, seed = edges.union(extra), pairs.union(more), seed + 1
-        found = components(edges)
-    if label.limit(1).count():
-        rest = cut(exhaustive(label, docs, size, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
-        extra = cut(confirm(rest, docs, size, percent), "confirmed", free=True)
+        more = neighbours(rest, seed) if seed < rounds else exhaustive(rest, texts, size, percent)
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"), f"more{seed}")
+        extra = cut(confirm(more, cut(texts_of(cut(rest.select("id").distinct(), f"ids{seed}"), texts), f"texts{seed}"), size, percent), f"confirmed{seed}", free=True)
+        pairs = pairs.union(more)
         if extra.limit(1).count():
-            found = components(edges.union(extra))
-    by_class = ids.join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(by_class, ["s1", "s2"], "left")
+            edges = edges.union(extra)
+            found = components(edges)
+    by_class = cut(ids.join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"), "n"), "components")
+    out = skew_join(sigs.select("doc_id", "n_shingles", "s1", "s2"), by_class, ["s1", "s2"], "left")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -4,26 +4,27 @@ A document is a bag of sentences. A sentence has probability s = sigmoid(b + sum
 word stems), the bag has 1 - prod(1 - s) (noisy-or), and the weights are learned from the labels of whole documents only.
 The same sentence scores then say which sentences offend.
 
-Labels are read from at most `max_train` documents of either class (a bounded, documented sample, taken in the order of a
-hash of doc_id); all documents are scored whole.
+Labels are read from at most `max_train` documents of either class (a bounded, documented sample, in the order of a hash of
+doc_id); all documents are scored whole. Executors take the sample apart: they count features by class, and give each
+sentence as the numbers of its kept features; only these come to the driver.
 
 Edge cases: null and empty texts have no sentences and the score 0.0; null labels are not used; with no usable labels, or
-labels of one class only, every score is 0.0; repeated rows are scored each; extra columns pass through unread (score() replaces those
-named as its own; drop_toxic() keeps all).
+labels of one class only, every score is 0.0; of rows with one doc_id the smallest text is learned, and all are scored;
+extra columns pass through unread (score() replaces those named as its own; drop_toxic() keeps all).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shield, table
+from .common import cut, shield, table
 
-SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
+STOPS = ".!?\\n。！？｡।؟۔"
+SENTENCE = re.compile(f"[^{STOPS}]+[{STOPS}]*")
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)
 CACHE_WORDS = 500_000
@@ -68,35 +69,19 @@ class Model:
         return float(1 - rest), found
 
 
-def train(bags: list[tuple[int, list[list[str]]]], min_docs: int = 3, epochs: int = 150, rate: float = 0.15, l2: float = 2e-4) -> Model:
-    """bags: (label, distinct words of each sentence). Full-batch Adam on the noisy-or likelihood, classes of equal weight."""
-    y = np.array([b[0] for b in bags], float)
-    if not len(y) or y.min() == y.max():
-        return Model({}, 0.0)
-    df = [Counter(), Counter()]
-    for label, sentences in bags:
-        df[label].update({f for s in sentences for w in s for f in features(w)})
-    n1, n0 = y.sum(), len(y) - y.sum()
-    # a feature must occur often enough in one class and be unevenly spread to be worth a weight
-    kept = {}
-    for f in df[0].keys() | df[1].keys():
-        a, b = df[1][f], df[0][f]
-        lift = np.log(((a + 0.5) / n1) / ((b + 0.5) / n0))
-        if a + b >= min_docs and a >= min_docs and lift > 1.0:
-            kept[f] = len(kept)
-    if not kept:
-        return Model({}, 0.0)
-    rows, cols, bag_of, n = [], [], [], 0
-    for i, (_, sentences) in enumerate(bags):
-        for s in sentences:
-            if own := {kept[f] for w in s for f in features(w) if f in kept}:
-                rows += [n] * len(own)
-                cols += own
-                bag_of.append(i)
-                n += 1
-    rows, cols, bag_of = np.array(rows), np.array(cols), np.array(bag_of)
-    w, b = np.zeros(len(kept)), -3.0
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+def sentence_features(text: str) -> list[set[str]]:
+    words = ({w.lower() for w in WORD.findall(m)} for m in SENTENCE.findall(text))
+    return [{f for w in ws for f in features(w)} for ws in words]
+
+
+def train(names: list[str], y: np.ndarray, rows: np.ndarray, cols: np.ndarray, bag_of: np.ndarray, epochs: int = 150, rate: float = 0.15, l2: float = 2e-4) -> Model:
+    """Full-batch Adam on the noisy-or likelihood, classes of equal weight.
+
+    y: the labels of the bags; rows, cols: sentence and feature, for every feature of a sentence; bag_of: each sentence's bag.
+    """
+    n, n1 = len(bag_of), y.sum()
+    w, b = np.zeros(len(names)), -3.0
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / (len(y) - n1))
     m = np.zeros(len(w) + 1)
     v = np.zeros(len(w) + 1)
     for t in range(1, epochs + 1):
@@ -109,15 +94,16 @@ def train(bags: list[tuple[int, list[list[str]]]], min_docs: int = 3, epochs: in
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    return Model({f: float(w[i]) for f, i in kept.items() if abs(w[i]) > 1e-3}, float(b))
+    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 2500, max_chars: int = 20_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 2500, min_docs: int = 3, min_lift: float = 1.0) -> Model:
     """Learns from at most max_train documents of either class, in the order of a hash of doc_id; held-out ids are the caller's to drop.
 
-    The sampled documents' word lists come to the driver: at most 2 * max_train documents, and no further ones once
-    max_chars characters are gathered of a class.
+    A feature is worth a weight if it is in min_docs toxic documents and more common there by exp(min_lift).
     """
+    import pyarrow as pa
+
     order = F.md5(F.col("doc_id").cast("string"))
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
@@ -125,15 +111,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 2500, max_chars: in
         some = known.where(F.col("toxic") == label).orderBy(order).limit(max_train)
         picked = some if picked is None else picked.unionByName(some)
     # at most 2 * max_train pairs of two numbers: small enough to broadcast
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    bags, chars, seen = [], [0, 0], set()
-    for r in rows.toLocalIterator():
-        if r["doc_id"] in seen or chars[r["toxic"]] > max_chars:
-            continue
-        seen.add(r["doc_id"])
-        chars[r["toxic"]] += len(r["text"])
-        bags.append((r["toxic"], [list({w.lower() for w in WORD.findall(s)}) for s in SENTENCE.findall(r["text"])]))
-    return train(bags)
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    sample = cut(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return Model({}, 0.0)
+
+    def names_of(batches):
+        for b in batches:
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                own = sorted(set().union(*sentence_features(text.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], names=["feature", "toxic"])
+
+    counts = sample.select("text", F.col("toxic").cast("int")).mapInArrow(names_of, "feature string, toxic int")
+    counts = counts.groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    lift = F.log(((F.col("bad") + 0.5) / size[1]) / ((F.col("n") - F.col("bad") + 0.5) / size[0]))
+    names = [r[0] for r in counts.where((F.col("bad") >= min_docs) & (lift > min_lift)).select("feature").orderBy("feature").toLocalIterator()]  # of toxic documents of the sample only
+    if not names:
+        return Model({}, 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def numbers_of(batches):
+        number = shared.value
+        for b in batches:
+            own = [[x for f in (sorted(number[f] for f in s if f in number) for s in sentence_features(t.as_py())) if f for x in (*f, -1)] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "toxic", "numbers"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    bags = sample.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(numbers_of, f"doc_id {kind}, toxic int, numbers array<int>")
+    y, flat, bag = [], [], []
+    for i, r in enumerate(bags.orderBy("doc_id").toLocalIterator()):  # features of a sentence, then -1
+        y.append(r["toxic"])
+        flat.append(np.array(r["numbers"], np.int32))
+        bag.append(np.full(len(flat[-1]), i, np.int32))
+    shared.unpersist()
+    flat, bag = np.concatenate(flat), np.concatenate(bag)
+    ends = flat < 0
+    return train(names, np.array(y, float), (np.cumsum(ends) - ends)[~ends], flat[~ends], bag[ends])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

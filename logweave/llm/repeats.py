@@ -1,18 +1,22 @@
 """Exact removal of byte strings of `length` or more that occur twice anywhere, over all documents.
 
-A column-wise construction inserts one symbol of every document in each round, and so takes as many rounds over the whole
-collection as the longest document has bytes. Here the columns are bounded: every window of `length` bytes has a
-content-defined anchor, its k-byte gram of the smallest hash (leftmost of equal ones), so equal windows have equal anchors
-at equal places. The windows of one anchor form a block of at most 2 * length - k bytes, and only blocks that share
-an anchor are compared, column by column relative to it: two windows are equal exactly if they agree in a column.
+A multi-document construction inserts one symbol of every document in each round, from the right to the left, and so
+updates the order of their suffixes (the collection's Burrows-Wheeler transform) and the common prefixes of neighbours.
+Over whole documents that takes as many rounds as the longest has bytes. Here the columns are bounded: every window of
+`length` bytes has a content-defined anchor, its k-byte gram of the smallest hash (leftmost of equal ones), so equal windows
+have equal anchors at equal places. The windows of one anchor form a block of at most 2 * length - k bytes, and only blocks
+that share an anchor meet. These are the construction's documents, set side by side at their anchors: in each round the
+blocks of an anchor are ordered by their next symbol, stably, and the end of the match with the neighbour before is the
+least end in between. A window begins a repeat exactly if its match with a neighbour reaches `length` bytes: columns().
 
 Steps, each written out for the next: anchors of all texts are counted; texts are collapsed to distinct ones; their blocks
 with an anchor that occurs twice are listed by content hash; anchors of one content need no comparison, and of those of
-several only one block for each content is read; in each anchor's blocks the windows of each column that occur twice are
-marked; marked windows become byte ranges of the texts. Anchors with more than `hot` contents are compared by counting
-window hashes over all tasks instead, so that no anchor's blocks must fit into one.
+several only one block for each content is read; Spark's sort brings the blocks of an anchor together in sequential runs,
+through which the construction passes; marked windows become byte ranges of the texts. Anchors with more than `hot` contents
+are compared by counting window hashes over all tasks instead, so that no anchor's blocks must fit into one.
 
-Equality is decided on 64-bit hashes (of windows, within an anchor and column) and 128-bit hashes (of texts and blocks).
+Windows are compared by their bytes, those of hot anchors by 64-bit hashes within an anchor and column; whole texts and
+blocks are equal by 128-bit hashes.
 
 Edge cases: null texts count as empty; texts shorter than `length` lose nothing; equal texts (repeated rows too) of
 `length` bytes or more lose every byte; null and repeated doc_ids keep one result a row; extra columns are not read.
@@ -24,10 +28,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, MULT, chunks, cut, discard, mix, powers, prefix_hash, raw_bytes, release, table
+from .common import BYTE_CODE, MULT, chunks, cut, discard, mix, powers, prefix_hash, raw_bytes, release, skew_join, table
 
 LENGTH, GRAM = 200, 72
 HOT = 20_000
+SLICE = 5_000  # blocks of a construction, and the rest of its last anchor
 PIECE = 1_000_000  # longer texts are read in pieces that overlap by a window
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -130,7 +135,65 @@ def blocks(texts: DataFrame, length: int, gram: int, with_bytes: bool) -> DataFr
     return texts.select("t1", "t2", "n", "text", "flags").mapInArrow(run, schema)
 
 
-def columns(g: np.ndarray, off: np.ndarray, column, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def laid(column, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks set side by side at their anchors: bytes by block and column, first column and end of each block."""
+    data, offsets = raw_bytes(column)
+    size = np.diff(offsets)
+    first = (length - gram) - off.astype(np.int64)
+    out = np.zeros((len(size), 2 * length - gram), np.uint8)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(data)) - offsets[row] + first[row]] = data
+    return out, first, first + size
+
+
+def least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of values[low : high + 1] of each range, by minima of power-of-two lengths."""
+    if not len(low):
+        return values[:0]
+    power = (np.frexp(high - low + 1)[1] - 1).astype(np.int64)
+    out, level = np.empty(len(low), values.dtype), values
+    for k in range(int(power.max()) + 1):
+        at = np.flatnonzero(power == k)
+        out[at] = np.minimum(level[low[at]], level[high[at] - (1 << k) + 1])
+        level = np.minimum(level[: -(1 << k)], level[1 << k :]) if len(level) > 1 << k else level
+    return out
+
+
+def columns(g: np.ndarray, off: np.ndarray, column, length: int, gram: int) -> np.ndarray:
+    """Which windows (block, first column) of the blocks occur in another block of their anchor; g is grouped.
+
+    One round a column, from the right: `order` holds the blocks of each anchor in the order of what follows the column, and
+    `ends` where each of them first differs from the one before it (-1: the first of its anchor).
+    """
+    symbols, first, last = laid(column, off, length, gram)
+    n, width = symbols.shape
+    hit = np.zeros((n, length - gram + 1), bool)
+    anchor = np.cumsum(np.concatenate(([0], g[1:] != g[:-1]))) if n else np.zeros(0, np.int64)
+    order = np.arange(n)
+    ends = np.full(n, width, np.int64)
+    if n:
+        ends[np.concatenate(([True], anchor[1:] != anchor[:-1]))] = -1
+    for j in range(width - 1, -1, -1):
+        there = (first[order] <= j) & (j < last[order])
+        symbol = np.where(there, symbols[order, j].astype(np.int64), -1)  # -1: nothing follows yet
+        key = anchor[order] * 257 + symbol + 1
+        place = np.argsort(key, kind="stable")
+        place = place[(first[order] <= j)[place]]  # a block that began to the right is done
+        if not len(place):
+            break
+        a, b = place[:-1], place[1:]
+        same = (key[a] == key[b]) & (symbol[b] >= 0)
+        new = np.where(anchor[order[a]] == anchor[order[b]], j, -1)
+        new[same] = least(ends, a[same] + 1, b[same])
+        order, ends = order[place], np.concatenate(([-1], new))
+        if j < hit.shape[1]:
+            long = ends >= j + length
+            hit[order[long], j] = True
+            hit[order[:-1][long[1:]], j] = True
+    return hit
+
+
+def window_hashes(g: np.ndarray, off: np.ndarray, column, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the windows of all blocks: block, place in it, and a hash of the window, its anchor and its column."""
     data, offsets = raw_bytes(column)
     count = np.maximum(np.diff(offsets) - length + 1, 0)
@@ -154,34 +217,32 @@ def _ranges(block: np.ndarray, place: np.ndarray, n: int) -> list[list[int]]:
     return out
 
 
-def compare(rows: DataFrame, length: int) -> DataFrame:
+def compare(rows: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     """c1, c2, ranges of the blocks (g, off, c1, c2, block, sure) that have windows in common with others of their anchor; rows come sorted by g."""
     import pyarrow as pa
 
     def some(t):
         g, off, sure = (t.column(c).to_numpy() for c in ("g", "off", "sure"))
-        block, place, h = columns(g, off, t.column("block"), length)
-        order = np.argsort(h)
-        same = np.concatenate(([False], h[order[1:]] == h[order[:-1]]))
-        hit = np.zeros(len(h), bool)
-        hit[order[same]] = True
-        hit[order[:-1][same[1:]]] = True
-        hit |= sure[block]
-        ranges = _ranges(block[hit], place[hit], len(g))
-        keep = [i for i, r in enumerate(ranges) if r]
-        keep = np.array(keep, np.int64)
+        hit = columns(g, off, t.column("block"), length, gram)
+        size = np.diff(raw_bytes(t.column("block"))[1])
+        begin = (length - gram) - off.astype(np.int64)
+        for i in np.flatnonzero(sure).tolist():
+            hit[i, begin[i] : begin[i] + size[i] - length + 1] = True
+        block, column = np.nonzero(hit)
+        ranges = _ranges(block, column - begin[block], len(g))
+        keep = np.array([i for i, r in enumerate(ranges) if r], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[keep]) for c in ("c1", "c2")] + [pa.array([ranges[i] for i in keep], pa.list_(pa.int32()))], names=["c1", "c2", "ranges"])
 
     def run(batches):
         held: list = []
         size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
                 held.append(b)
                 size += b.num_rows
                 g = b.column(0).to_numpy()
-                if g[0] == g[-1] or size < 2000:
+                if g[0] == g[-1] or size < SLICE:
                     continue
                 split = int(np.searchsorted(g, g[-1]))  # the last anchor may go on in the next slice
                 yield some(pa.Table.from_batches([*held[:-1], b.slice(0, split)]))
@@ -202,7 +263,7 @@ def compare_hot(rows: DataFrame, length: int) -> DataFrame:
                 t = b.slice(a, 5000)
                 g, off, c1, c2 = (t.column(i).to_numpy() for i in range(4))
                 sure = t.column(5).to_numpy(zero_copy_only=False)
-                block, place, h = columns(g, off, t.column(4), length)
+                block, place, h = window_hashes(g, off, t.column(4), length)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c1[block]), pa.array(c2[block]), pa.array(place.astype(np.int32)), pa.array(sure[block])], names=["h", "c1", "c2", "place", "sure"])
 
     sure = rows.where("sure").select("c1", "c2", F.array(F.lit(0), F.length("block") - length).alias("ranges"))
@@ -228,26 +289,29 @@ def _found(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
     """Of each distinct text that loses bytes: t1, t2, n (its rows), text and spans (ranges as found, unmerged; null where only equal texts say so)."""
     texts = docs.select("text", F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2")).where(F.octet_length("text") >= length)
     found = cut(anchors(texts, length, gram), "anchors")
-    twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    twice = cut(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     # equal texts give equal rows: once is enough; a list is bounded by its text's length
-    flags = found.join(twice, "g", "left_semi").groupBy("t1").agg(F.collect_set(F.col("s") * 4).alias("flags"))
+    flags = skew_join(found, twice, ["g"]).groupBy("t1").agg(F.collect_set(F.col("s") * 4).alias("flags"))
     flags = cut(flags, "flags", free=True)
     discard(found)
+    discard(twice)
     distinct = texts.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     listed = cut(blocks(distinct.join(flags, "t1"), length, gram, False), "listed", free=True)
     discard(flags)
     content = listed.groupBy("g", "c1", "c2").agg(((F.count("*") > 1) | F.max("dup")).alias("sure"), F.min(F.struct("t1", "s")).alias("at"), F.first("windows").alias("windows"))
     content = cut(content, "content", free=True)
-    many = content.groupBy("g").agg(F.count("*").alias("contents")).where("contents > 1")
-    one = content.join(many, "g", "left_anti").where("sure").select("c1", "c2", F.array(F.lit(0), F.col("windows") - 1).alias("ranges"))
+    by_anchor = content.groupBy("g").agg(F.count("*").alias("contents"), F.first(F.struct("c1", "c2", "windows", "sure")).alias("one"))
+    by_anchor = cut(by_anchor.where("contents > 1 or one.sure"), "by_anchor")
+    one = by_anchor.where("contents = 1").select("one.c1", "one.c2", F.array(F.lit(0), F.col("one.windows") - 1).alias("ranges"))
+    many = by_anchor.where("contents > 1").select("g", "contents")
     bits = F.col("at.s") * 4 + F.when(F.col("contents") > hot, 2).otherwise(0) + F.col("sure").cast("int")
-    flags = content.join(many, "g").groupBy(F.col("at.t1").alias("t1")).agg(F.collect_set(bits).alias("flags"))
+    flags = skew_join(content, many, ["g"], n="contents").groupBy(F.col("at.t1").alias("t1")).agg(F.collect_set(bits).alias("flags"))
     flags = cut(flags, "contested", free=True)
     rows = cut(blocks(distinct.join(flags, "t1"), length, gram, True), "blocks", free=True)
     calm = rows.where("not hot").repartition("g").sortWithinPartitions("g")
-    shared = compare(calm, length).union(compare_hot(rows.where("hot"), length)).union(one)
+    shared = compare(calm, length, gram).union(compare_hot(rows.where("hot"), length)).union(one)
     shared = cut(shared.dropDuplicates(["c1", "c2"]), "shared", free=True)
-    for done in (content, flags, rows):
+    for done in (content, by_anchor, flags, rows):
         discard(done)
     # a window range of a block is a byte range of the text
     at = listed.select("t1", "t2", "s", "c1", "c2").join(shared, ["c1", "c2"])

@@ -347,22 +347,51 @@ def test_two_short_phrases_side_by_side_are_no_repeated_run():
 
 
 def test_licences_native_scan_is_the_model(spark):
-    lines = [t for texts in licences.NOTICES.values() for t in texts] + licences.OTHER + ["", "nothing here", "Licensed under the Made Up License."]
-    text = "\n".join(lines)
+    units = [t for texts in licences.NOTICES.values() for t in texts] + licences.OTHER + ["nothing here", "Licensed under the Made Up License.", "of the and", "x1 " * 150 + "Released under the MIT License " + "x2 " * 90]
+    text = "\n\n".join(units)
+    pieces = re.split(r"\n[ \t\r]*\n", text)
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "x " * 100_000), (1, text)], "doc_id long, text string").withColumn("family", F.lit("mine"))
-    got = {(r["doc_id"], r["pos"]): r for r in licences.scan(df).collect()}
-    for i, line in enumerate(lines):
-        family, p, share = licences.classify(line)
-        want = bool(re.search(licences.CUE[4:], line, re.I)) and family != licences.UNKNOWN and p >= licences.THRESHOLD
-        assert ((1, i) in got) == want
-        if want:
-            r = got[1, i]
-            assert r["family"] == family and abs(r["probability"] - p) < 1e-9 and r["confirmed"] == (share >= licences.OVERLAP)
-    right = sum((1, i) in got and got[1, i]["family"] == f and got[1, i]["confirmed"] for i, f in enumerate(f for f, texts in licences.NOTICES.items() for _ in texts))
-    assert right >= 0.9 * sum(map(len, licences.NOTICES.values()))
+    got = {}
+    for r in licences.scan(df).collect():
+        got.setdefault(tuple(r["words"]), []).append(r)
+    wanted = 0
+    for piece in pieces:
+        for words in licences.windows(licences.words_of(piece)):
+            family, p, share = licences.classify(words)
+            want = family != licences.UNKNOWN and p >= licences.THRESHOLD
+            wanted += 2 * want
+            assert (tuple(words) in got) == want, piece
+            for r in got.get(tuple(words), ()):
+                assert r["doc_id"] == 1 and r["family"] == family and abs(r["probability"] - p) < 1e-9 and abs(r["overlap"] - share) < 1e-9 and r["confirmed"] == (share >= licences.OVERLAP)
+    assert sum(map(len, got.values())) == wanted
+    for f, texts in licences.NOTICES.items():
+        assert all(got[tuple(licences.words_of(t))][0]["family"] == f and got[tuple(licences.words_of(t))][0]["confirmed"] for t in texts)
     assert licences.scan(df.limit(0)).count() == 0
 
 
+HELD_OUT = [  # none of these is a notice of the training set
+    ("MIT", "This code is distributed under the MIT license."),
+    ("MIT", "PERMISSION IS HEREBY GRANTED, FREE OF CHARGE, TO ANY PERSON OBTAINING\n * A COPY OF THIS SOFTWARE AND ASSOCIATED\n * DOCUMENTATION FILES"),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
+    ("Apache-2.0", "Distributed under the terms of the Apache License 2.0"),
+    ("BSD", "Code released under the BSD license"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License"),
+    ("CC-BY-NC", "Shared by its author. Licensed under CC BY-NC 4.0 since last year"),
+    (None, "Licensed under the Zope Public License"),
+    (None, "Licensed under the Foobar License, Version 2.0."),
+    (None, "This content is made available under the terms of the Eclipse Public License v. 2.0"),
+    (None, "Subject to the EUPL, Version 1.2 only"),
+    (None, "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    (None, "He got a license to drive a truck\nand the public was free to watch"),
+]
+
+
+def test_licences_on_notices_held_out(spark):
+    df = spark.createDataFrame([(i, f"first line of text.\n{t}") for i, (_, t) in enumerate(HELD_OUT)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in licences.scan(df).collect()}
+    assert [got.get(i, (None, True)) for i in range(len(HELD_OUT))] == [(f, True) for f, _ in HELD_OUT]
+
+
 # --- exact repeats --------------------------------------------------------------------------------
 
 

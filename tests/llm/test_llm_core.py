@@ -295,6 +295,8 @@ def test_components_of_a_long_chain(spark):
         ("<body><div class=cookie-notice>accept</div><p>plain page</p></body>", "plain page"),
         ('<article><header><h1>Title</h1></header><p hidden>h</p><p title="a > b">p</p></article>', "Title p"),
         ("a < b", "a < b"),
+        ('<article><p>one</p><div class="ad-astra share-price">The share price rose</div><div class="ad-box">buy</div><math><mi>x</mi></math></article>', "one The share price rose x"),
+        ('<article><div class="site-footer">f</div><span class="ad">gone</span> kept<p>two</article>', "kept two"),
     ],
 )
 def test_html(spark, html, expected):
@@ -317,6 +319,38 @@ def test_host_runs_are_removed_and_unique_text_stays(spark):
     assert host_suffixes.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_tokens", [400_000, 60])
+def test_host_runs_match_brute_force(spark, shard_tokens):
+    rng = random.Random(19)
+    pages = []
+    for i in range(40):
+        parts = [f"<div>{prose(rng, 3)} w{i} {rng.choice(['a b c d', 'a b c d e f', 'x y z', 'one two three four five six seven'])}</div>" for _ in range(6)]
+        pages.append((i, f"http://h{i % 2}/{i}", "".join(parts)))
+    pages += [(100 + i, "http://h0/copy", pages[0][2]) for i in range(3)]
+    words = {i: re.findall(r"[^<>/ ]+", re.sub(r"</?div>", " ", h)) for i, _, h in pages}
+    want = {}
+    for i, url, _ in pages:
+        seen = {}
+        for j, u, _ in pages:
+            if u[:9] == url[:9]:
+                for k in range(len(words[j]) - 5):
+                    seen.setdefault(tuple(words[j][k : k + 6]), set()).add(tuple(words[j]))
+        want[i] = sorted({k + d for k in range(len(words[i]) - 5) for d in range(6) if len(seen[tuple(words[i][k : k + 6])]) >= 3})
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    runs = host_suffixes.host_runs(host_suffixes.outside(df), shard_tokens=shard_tokens)
+    got = {r["page_id"]: sorted(r["gone"]) for r in runs.join(df.select("page_id", *host_suffixes._key()), ["k1", "k2"]).collect()}
+    assert got == {i: x for i, x in want.items() if x} and len(got) > 10
+
+
+def test_a_doubtful_part_of_an_article_goes_where_it_repeats(spark):
+    rng = random.Random(20)
+    note = "sign up here for all of our weekly news"
+    html = lambda own: f'<article><p>{prose(rng, 20)}</p><div class="ad-hoc">{own}</div></article>'
+    pages = [(i, "http://n/", html(note)) for i in range(4)] + [(9, "http://n/", html("only here we speak of this"))]
+    out = {r["page_id"]: r["text"] for r in host_suffixes.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(note not in out[i] and len(out[i].split()) == 20 for i in range(4)) and out[9].endswith("only here we speak of this")
+
+
 def test_suffix_classes_are_ranks_of_substrings():
     rng = np.random.default_rng(7)
     t = rng.integers(0, 3, 200)

@@ -28,7 +28,8 @@ from .common import BYTE_CODE, MULT, checked, chunks, cut, discard, mix, n_parts
 
 HALF, K = 10, 3
 MAX_BROADCAST = 200_000
-ROUNDS = 3  # of hubs, before the exact join
+ROUNDS = 2  # of hubs, before the exact join
+SPLIT = 1_000  # pairs that a text is sent for at once
 BLOCK = 4_000  # rows of a shingle that one side of a task holds
 SKETCH, BITS = 1 << 16, 1024
 
@@ -109,32 +110,41 @@ def band_keys(classes: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar: 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full shingle sets are similar: 100 * intersection >= percent * union.
+
+    The pairs of one a come together behind its text, which is sent once for each `SPLIT` of them.
+    """
     import pyarrow as pa
 
-    text = docs.select(F.col("doc_id").alias("id"), "text")
-    both = pairs.join(text.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b")
-    both = both.join(text.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    text = docs.select(F.col("doc_id").alias("b"), "text")
+    many = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT), "many")
+    dealt = pairs.join(checked(many, MAX_BROADCAST), "a", "left")
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(1)) / SPLIT)).alias("salt"), "b")
+    heads = dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("b"), F.lit(0).alias("turn"))
+    rows = heads.union(dealt.select("a", "salt", "b", F.lit(1))).join(text, "b").select("a", "salt", "turn", "b", "text")
+    rows = rows.repartition(n_parts(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "turn")
 
     def run(batches):
-        last, left = None, None
+        left = None
         for batch in batches:
             keep = []
-            right = list(_shingled(batch.column(3), size))
-            for i, a in enumerate(batch.column(0).to_pylist()):
-                if a != last:  # the rows come sorted by a
-                    last, left = a, next(iter(_shingled(batch.column(2).slice(i, 1), size)))
-                n, m = len(left), len(right[i])
+            turns = batch.column(2).to_pylist()
+            for turn, right in zip(turns, _shingled(batch.column(4), size), strict=True):
+                if not turn:
+                    left = right
+                    keep.append(False)
+                    continue
+                n, m = len(left), len(right)
                 if 100 * min(n, m) < percent * max(n, m):
                     keep.append(False)
                     continue
-                x = np.concatenate((left, right[i]))
+                x = np.concatenate((left, right))
                 x.sort()
                 same = int((x[1:] == x[:-1]).sum())
                 keep.append(100 * same >= percent * (n + m - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

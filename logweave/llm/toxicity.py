@@ -27,7 +27,7 @@ STOPS = ".!?\\n。！？｡।؟۔"
 SENTENCE = re.compile(f"[^{STOPS}]+[{STOPS}]*")
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 
 def features(word: str) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import json
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,12 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Keeps Arrow batches of whole texts small, by rows and by bytes: what executors hold outside of the heap grows with them.
+
+    A setting of the session, as plans read it when they run; a smaller one of the user's stays.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.sub(r"\D", "", str(spark.conf.get(key, None) or ""))
+        if not now or int(now) == 0 or int(now) > most:
+            spark.conf.set(key, most)
+
+
 def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, so that a lost executor costs a read, not the lineage.
 
     free: have the driver collect its garbage, after which Spark deletes the shuffle files of plans that are done with.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/logweave-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

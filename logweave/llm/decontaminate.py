@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shield, table
+from .common import cut, shield, small_batches, table
 
 # ASCII digits and letters and every byte over 0x7F make words; A-Z are lowered, all else separates
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -165,6 +165,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words:
     import pyarrow as pa
 
     spark = docs.sparkSession
+    small_batches(spark)
     columns = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     out, at = docs.select(*columns), columns.index("text")
     parts = shards(benchmark, window, max_words)

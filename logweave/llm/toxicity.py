@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shield, table
+from .common import cut, shield, small_batches, table
 
 STOPS = ".!?\\n。！？｡।؟۔"
 SENTENCE = re.compile(f"[^{STOPS}]+[{STOPS}]*")
@@ -157,6 +157,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("score", "predicted", "offending")]
     src = docs.select(*columns)
     at = columns.index("text")
+    small_batches(src.sparkSession)
     shared = src.sparkSession.sparkContext.broadcast(model)  # bounded: features of the bounded training sample
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 

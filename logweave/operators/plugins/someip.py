@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,22 +71,39 @@ class Segments:
 
 
 def decode(msgs: DataFrame, names: dict | None = None, ctid: str = "TC") -> DataFrame:
-    """msgs with the text of SOME/IP traces; pieces are put together within one segment id."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Segments(names)
-        pdf = pdf.sort_values("index")
-        return pd.DataFrame({"index": pdf["index"], "_text": [s.add(wire.args(message_of(int(h), int(v), bytes(p)))) for h, v, p in zip(pdf["htyp"], pdf["vmm"], pdf["payload"], strict=True)]})
+    """msgs with the text of SOME/IP traces; pieces are put together within one segment id.
 
+    Whole messages are read where they are. Pieces come sorted by segment id and index, and pass one after another: only
+    the segment at hand is held.
+    """
     vmm = F.col("ext.verb_mstp_mtin").cast("int")
-    mine = msgs.where((vmm.bitwiseAND(0x0E) == 4) & (F.shiftright(vmm, 4) == 1) & (F.col("ext.ctid") == F.lit(wire.char4(ctid))))
-    # the segment id is the second argument: 4 bytes after the first string and its own type; whole messages group by themselves
+    mine = F.coalesce((vmm.bitwiseAND(0x0E) == 4) & (F.shiftright(vmm, 4) == 1) & (F.col("ext.ctid") == F.lit(wire.char4(ctid))), F.lit(False))
+    # the segment id is the second argument: 4 bytes after the first string and its own type
     p = F.col("payload")
-    tag = F.substring(p, 7, 4)
-    seg = F.when(tag.isin([F.lit(t) for t in (b"NWST", b"NWCH", b"NWEN")]), F.hex(F.substring(p, F.lit(7) + F.conv(F.hex(F.concat(F.substring(p, 6, 1), F.substring(p, 5, 1))), 16, 10).cast("int") + 4, F.lit(4))))
-    texts = mine.select("index", "htyp", vmm.alias("vmm"), "payload", F.coalesce(seg, F.col("index").cast("string")).alias("seg")).groupBy("seg").applyInPandas(run, "index long, _text string")
-    return msgs.join(texts, "index", "left").withColumn("payload_text", F.coalesce("_text", "payload_text")).drop("_text")
+    seg = F.when(F.substring(p, 7, 4).isin([F.lit(t) for t in (b"NWST", b"NWCH", b"NWEN")]), F.hex(F.substring(p, F.lit(7) + F.conv(F.hex(F.concat(F.substring(p, 6, 1), F.substring(p, 5, 1))), 16, 10).cast("int") + 4, F.lit(4))))
+
+    def text_of(state: Segments, h, v, raw) -> str | None:
+        return state.add(wire.args(message_of(int(h), int(v), bytes(raw))))
+
+    @F.pandas_udf("string")
+    def whole(htyp: pd.Series, v: pd.Series, payload: pd.Series) -> pd.Series:
+        return pd.Series([None if raw is None else text_of(Segments(names), h, x, raw) for h, x, raw in zip(htyp, v, payload, strict=True)], dtype=object)
+
+    def pieces(parts):
+        last, state = None, Segments(names)
+        for part in parts:
+            out = []
+            for s, h, v, raw in zip(part["seg"], part["htyp"], part["vmm"], part["payload"], strict=True):
+                if s != last:
+                    last, state = s, Segments(names)
+                out.append(text_of(state, h, v, raw))
+            yield pd.DataFrame({"index": part["index"], "_text": out})
+
+    alone = mine & seg.isNull()
+    marked = msgs.withColumn("payload_text", F.coalesce(F.when(alone, whole(F.col("htyp"), F.when(alone, vmm).otherwise(0), F.when(alone, p))), "payload_text"))
+    parted = msgs.where(mine & seg.isNotNull()).select("index", "htyp", vmm.alias("vmm"), "payload", seg.alias("seg"))
+    texts = parted.repartition("seg").sortWithinPartitions("seg", "index").mapInPandas(pieces, "index long, _text string")
+    return marked.join(texts, "index", "left").withColumn("payload_text", F.coalesce("_text", "payload_text")).drop("_text")
 
 
 def from_config(config: dict):

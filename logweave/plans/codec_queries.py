@@ -102,22 +102,31 @@ def anonymize_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, strlen(text)::BIGINT AS size, 'Complete' AS state, sha256(text) AS sha FROM documents")
 def file_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     """Each document is sent as a file in packages of 1,000 bytes and put together again."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where(F.length("text") > 0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")  # encoding costs more than moving the texts once
+    u = lambda x: ("u", 32, x)
+
+    def send(d: int, raw: bytes):
+        n = max(1, -(-len(raw) // 1000))
+        yield ["FLST", u(d), f"{d}.txt", u(len(raw)), "today", u(n), u(1000), "FLST"]
+        for i in range(n):
+            yield ["FLDA", u(d), u(i + 1), raw[1000 * i : 1000 * i + 1000], "FLDA"]
+        yield ["FLFI", u(d), "FLFI"]
 
     def run(parts):
         import pandas as pd
 
+        rows = []
         for p in parts:
             for d, text in zip(p["doc_id"], p["text"], strict=True):
-                raw = text.encode()
-                n = max(1, -(-len(raw) // 1000))
-                u = lambda x: ("u", 32, x)
-                msgs = [wire.log("ECU1", "SYS", "FILE", ["FLST", u(d), f"{d}.txt", u(len(raw)), "today", u(n), u(1000), "FLST"])]
-                msgs += [wire.log("ECU1", "SYS", "FILE", ["FLDA", u(d), u(i + 1), raw[1000 * i : 1000 * i + 1000], "FLDA"]) for i in range(n)]
-                msgs.append(wire.log("ECU1", "SYS", "FILE", ["FLFI", u(d), "FLFI"]))
-                for i, m in enumerate(msgs):
+                for i, values in enumerate(send(d, text.encode())):
+                    m = wire.log("ECU1", "SYS", "FILE", values)
                     m.index, m.lifecycle = d * 1_000_000 + i, 1
-                yield pd.DataFrame([m.row() for m in msgs], columns=MSG_SCHEMA.fieldNames())
+                    rows.append(m.row())
+                if len(rows) >= 5000:
+                    yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
+                    rows = []
+        yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
 
     found = file_transfer.transfers(docs.mapInPandas(run, MSG_SCHEMA))
     return found.select(F.col("serial").alias("doc_id"), "size", "state", F.sha2("data", 256).alias("sha"))

@@ -5,8 +5,10 @@ prefixes (the exclusive-or of 128-bit hashes of position, role and text) is take
 hash is a prefix hash of a longer one, or of an equal one with a smaller conv_id, is left out by an anti-join. What is
 left is rendered with role headers.
 
-The prefix hash is a running aggregate in two levels (blocks of turns, then turns in a block), so that no conversation,
-however long, has its turns in one task at once; rendering is by turn, with the rank of the turn in its conversation.
+The prefix hash is a running aggregate in two levels (blocks of turn numbers, then turns in a block), so that no long
+conversation has all its turns in one task at once (turns of one number, also null, do come together); what is rendered is
+one row a turn, with its rank in the conversation: joined in that order, the rows are the chat, and no chat has to fit into
+one row.
 
 Edge cases: rows of a null conv_id are left out; turns are ordered by turn (null first), role and text, and repeated rows
 count as turns of their own; null roles and texts render as empty but differ from empty ones in the hash; an empty table
@@ -27,7 +29,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, rank (0, 1, ...), n_turns, and h1, h2: the rolling hash of the turns up to this one."""
     t = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text")
     # equal rows become one row with a count: ties can then be ordered
-    block = F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))  # null turns are before all others
     t = t.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n")).withColumn("block", block)
     sums = t.groupBy("conv_id", "block").agg(F.sum("n").alias("bn"))
     by_block = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

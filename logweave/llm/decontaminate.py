@@ -8,13 +8,15 @@ The automata are broadcast in shards of at most `max_words` item words. With mor
 through the shards one after another, so that a task holds one shard at a time however large the benchmark is.
 
 Edge cases: null and empty texts have no words and no hits; null and empty items are ignored, as are items of a null id;
-equal items all count as found; repeated rows are matched each; extra columns pass through unread.
+equal items all count as found; repeated rows are matched each; extra columns pass through unread, but for those named as
+matches() names its own, which are replaced (remove() keeps them).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,18 +138,18 @@ class Automaton:
         return spans, items
 
 
-def shards(benchmark: DataFrame, window: int, max_words: int) -> list[Automaton]:
-    """One automaton for each max_words item words; items are read one after another, not all at once."""
-    out, some, n = [], [], 0
+def shards(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items with their words, max_words together; read one after another, so that one shard is held at a time."""
+    some, n = [], 0
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
     for item, text in rows.toLocalIterator():
         if ws := words(text):
+            if n >= max_words:
+                yield some
+                some, n = [], 0
             some.append((item, ws))
             n += len(ws)
-        if n >= max_words:
-            out.append(Automaton(some, window))
-            some, n = [], 0
-    return [*out, Automaton(some, window)] if some or not out else out
+    yield some
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -168,9 +170,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words:
     small_batches(spark)
     columns = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     out, at = docs.select(*columns), columns.index("text")
-    parts = shards(benchmark, window, max_words)
-    for k, part in enumerate(parts):
-        shared = spark.sparkContext.broadcast(part)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    for k, items in enumerate(shards(benchmark, max_words)):
+        if k:
+            out = cut(out, f"shard{k}")
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(Automaton(items, window))
 
         def run(batches, shared=shared, again=k > 0):
             machine = shared.value
@@ -189,10 +194,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words:
                 new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *new], names=[*columns, "n_words", "spans", "items"])
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
         out = out.mapInArrow(run, f"{kinds}, n_words long, spans array<int>, items array<string>")
-        if k + 1 < len(parts):
-            out = cut(out, f"shard{k}")
     return out
 
 

@@ -87,11 +87,9 @@ ORACLE_SQL = {
     "op5_line_spread": """
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 b AS (SELECT trim(line) AS line FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
-k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE trim(line) NOT IN (SELECT line FROM b)) AS kept,
-             count(*) AS n_lines, count(*) FILTER (WHERE trim(line) IN (SELECT line FROM b)) AS n FROM l GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
-  CASE WHEN n > 0 AND length(coalesce(kept, '')) >= 0.5 * length(text) THEN n ELSE 0 END::BIGINT AS n_removed,
-  CASE WHEN n > 0 AND length(coalesce(kept, '')) >= 0.5 * length(text) THEN coalesce(kept, '') ELSE text END AS text
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE trim(line) NOT IN (SELECT line FROM b)) AS kept, count(*) AS n_lines,
+             count(*) FILTER (WHERE trim(line) IN (SELECT line FROM b)) AS n, bool_or(trim(line) <> '' AND trim(line) NOT IN (SELECT line FROM b)) AS own FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN own THEN n ELSE 0 END::BIGINT AS n_removed, CASE WHEN own AND n > 0 THEN kept ELSE text END AS text
 FROM documents d LEFT JOIN k USING (doc_id)"""
 }
 QUERIES = {"op5_line_spread": op5_line_spread}

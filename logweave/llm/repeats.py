@@ -140,7 +140,7 @@ def laid(column, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, n
     data, offsets = raw_bytes(column)
     size = np.diff(offsets)
     first = (length - gram) - off.astype(np.int64)
-    out = np.zeros((len(size), 2 * length - gram), np.uint8)
+    out = np.zeros((len(size), int((first + size).max(initial=length))), np.uint8)
     row = np.repeat(np.arange(len(size)), size)
     out[row, np.arange(len(data)) - offsets[row] + first[row]] = data
     return out, first, first + size
@@ -167,7 +167,7 @@ def columns(g: np.ndarray, off: np.ndarray, column, length: int, gram: int) -> n
     """
     symbols, first, last = laid(column, off, length, gram)
     n, width = symbols.shape
-    hit = np.zeros((n, length - gram + 1), bool)
+    hit = np.zeros((n, width - length + 1), bool)
     anchor = np.cumsum(np.concatenate(([0], g[1:] != g[:-1]))) if n else np.zeros(0, np.int64)
     order = np.arange(n)
     ends = np.full(n, width, np.int64)
@@ -378,4 +378,19 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_repeats": op9_repeats}
-ORACLE_SQL: dict[str, str] = {}
+# every window of 200 bytes, counted
+ORACLE_SQL = {
+    "op9_repeats": """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, hash(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+t AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 200 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN t USING (h) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM m),
+s AS MATERIALIZED (SELECT doc_id, g, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY doc_id, g),
+k AS (SELECT s.doc_id, g, lower(hex(b[coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY g), 0) + 1:a - 1])) AS before, z FROM s JOIN d USING (doc_id)),
+a AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS z FROM s GROUP BY doc_id),
+j AS (SELECT doc_id, string_agg(before, '' ORDER BY g) AS before FROM k GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(before || hex(b[z + 1:])) END) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN j USING (doc_id)"""
+}

@@ -347,4 +347,19 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 QUERIES = {"op6_minhash": op6_minhash}
-ORACLE_SQL: dict[str, str] = {}
+# the exact join of all sets, without any hashing
+ORACLE_SQL = {
+    "op6_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+x AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM c),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS n, b.n AS m, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 80 * (n + m - k)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS id, a AS top FROM l UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.id),
+top AS (SELECT id, min(top) AS top FROM r GROUP BY id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE coalesce(t.top, c.id) END AS component_id,
+  s.doc_id = CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE coalesce(t.top, c.id) END AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN top t ON t.id = c.id"""
+}

@@ -130,6 +130,13 @@ def test_chat_keeps_maximal_conversations(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_chat_turns_of_any_number(spark):
+    turns = [(1, t, "user", f"t{t}") for t in (None, -100, -1, 0, 63, 64, 1000)] + [(2, 5, "user", "x" * 300_000)]
+    rows = chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert [r["rendered"].split("\n")[1] for r in sorted((r for r in rows if r["conv_id"] == 1), key=lambda r: r["rank"])] == ["tNone", "t-100", "t-1", "t0", "t63", "t64", "t1000"]
+    assert max(len(r["rendered"]) for r in rows if r["conv_id"] == 2) > 300_000
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------
 
 

@@ -43,16 +43,21 @@ def merge(msgs: DataFrame) -> DataFrame:
     return numbered(msgs.withColumn("_key", key).drop("index"), ["_key", "src_stream", "src_seq"]).drop("_key")
 
 
-def calculated_time(start: Column) -> Column:
-    """When a message was logged: lifecycle start + uptime, at most its reception; control requests at their reception."""
+def calculated_time(start: Column, unknown_at_reception: bool = False) -> Column:
+    """When a message was logged: lifecycle start + uptime, at most its reception; control requests at their reception.
+
+    A message of an unknown lifecycle counts from 0, as converting has it, or is placed at its reception, as sessions have it.
+    """
     t = F.least(F.coalesce(start, F.lit(0)) + C.timestamp_us(), F.col("reception_time_us"))
-    return F.when(C.is_ctrl_request(), F.col("reception_time_us")).otherwise(t)
+    late = C.is_ctrl_request() | start.isNull() if unknown_at_reception else C.is_ctrl_request()
+    return F.when(late, F.col("reception_time_us")).otherwise(t)
 
 
-def time_sort(msgs: DataFrame, lifecycles: DataFrame) -> DataFrame:
+def time_sort(msgs: DataFrame, lifecycles: DataFrame, unknown_at_reception: bool = False) -> DataFrame:
     """msgs with calculated_time_us and its place row_pos in the order of (calculated time, index)."""
     starts = lifecycles.select(F.col("id").alias("lifecycle"), "start_time_us")
-    out = msgs.join(starts, "lifecycle", "left").withColumn("calculated_time_us", calculated_time(F.col("start_time_us"))).drop("start_time_us")
+    time = calculated_time(F.col("start_time_us"), unknown_at_reception)
+    out = msgs.join(starts, "lifecycle", "left").withColumn("calculated_time_us", time).drop("start_time_us")
     return numbered(out, ["calculated_time_us", "index"], "row_pos")
 
 
@@ -72,9 +77,9 @@ def lower_bound(df: DataFrame, key: Column, value) -> DataFrame:
 
 
 def resumed_order(lifecycles: DataFrame) -> DataFrame:
-    """Lifecycles by start; a resumed one directly after where it came from."""
+    """Lifecycles by start; a resumed one directly after where it came from. order_us is what they are ordered by."""
     start = F.when(F.col("resume").isNotNull(), F.greatest(F.col("start_time_us"), F.col("resume.start_time_us") + 1)).otherwise(F.col("start_time_us"))
-    return lifecycles.orderBy(start, "id")
+    return lifecycles.withColumn("order_us", start).orderBy("order_us", "id")
 
 
 def order_violations(msgs: DataFrame, max_back_us: int = 100_000) -> DataFrame:
@@ -84,6 +89,12 @@ def order_violations(msgs: DataFrame, max_back_us: int = 100_000) -> DataFrame:
     return msgs.withColumn("back_us", back).where(F.col("back_us") > max_back_us)
 
 
+def lifecycle_changes(msgs: DataFrame) -> DataFrame:
+    """Rows whose lifecycle is another one than that of the ECU's row before, in the order of row_pos; before: the one left."""
+    before = F.lag("lifecycle").over(Window.partitionBy("ecu").orderBy("row_pos"))
+    return msgs.withColumn("before", before).where(F.col("lifecycle") != F.col("before"))
+
+
 def buffering_delay(msgs: DataFrame, lifecycles: DataFrame, seconds: int) -> DataFrame:
     """The largest delay between calculated time and reception over the last seconds, by ECU and lifecycle."""
     starts = lifecycles.select(F.col("id").alias("lifecycle"), "start_time_us")

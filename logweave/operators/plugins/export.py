@@ -21,8 +21,8 @@ def same_lifecycles(lcs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lcs.alias("l").join(wanted.alias("w"), on, "left_semi").select("id")
 
 
-def select(msgs: DataFrame, filters: list[Filter], keep_lifecycles: DataFrame | None = None, first_us: int | None = None, last_us: int | None = None) -> DataFrame:
-    """The rows to export, with info_first: log-info responses of the kept lifecycles sort ahead."""
+def select(msgs: DataFrame, filters: list[Filter], keep_lifecycles: DataFrame | None = None, first_us: int | None = None, last_us: int | None = None, first_index: int | None = None, last_index: int | None = None) -> DataFrame:
+    """The rows to export, with info_first: log-info responses of the kept lifecycles sort ahead. Ranges include both ends; that of index holds after all else."""
     out = msgs
     if keep_lifecycles is not None:
         out = out.join(keep_lifecycles.withColumnRenamed("id", "lifecycle"), "lifecycle", "left_semi")
@@ -33,4 +33,7 @@ def select(msgs: DataFrame, filters: list[Filter], keep_lifecycles: DataFrame |
         hit = hit & (F.col("reception_time_us") >= first_us)
     if last_us is not None:
         hit = hit & (F.col("reception_time_us") <= last_us)
-    return out.where(hit | info).withColumn("info_first", info)
+    out = out.where(hit | info).withColumn("info_first", info)
+    if first_index is not None:
+        out = out.where(F.col("index") >= first_index)
+    return out if last_index is None else out.where(F.col("index") <= last_index)

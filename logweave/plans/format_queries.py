@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import struct
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from datetime import date, datetime, timedelta
+from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,11 +15,11 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import columns as C
 from ..functions.payload import log_infos, with_text
-from ..operators import filters, lifecycle, stats
+from ..operators import filters, lifecycle, ordering, stats
 from ..operators.filters import Filter
 from ..operators.plugins import can, export, model_decode, non_verbose, someip
 from ..schema import MSG_SCHEMA
-from ..sources import binary_formats, text_formats, wire
+from ..sources import binary_formats, datasource, text_formats, wire
 from . import sinks
 from .adapter import SQL, messages
 from .queries import I, ids
@@ -353,6 +356,79 @@ def ascii_lines(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("index", F.length(F.regexp_extract("line", r"(?s) \[(\{.*\})\]$", 1)).cast("long").alias("size"))
 
 
+@query("SELECT idx AS index, idx % 2 = 0 AS big_endian, true AS has_ext, idx % 3 = 0 AS has_session, (idx % 8)::BIGINT AS version, idx % 5 = 1 AS request, idx % 5 = 2 AS response FROM m")
+def header_flags(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("index")
+    htyp = F.lit(1) + F.when(i % 2 == 0, S.HTYP_BIG_ENDIAN).otherwise(0) + F.when(i % 3 == 0, S.HTYP_SESSION).otherwise(0) + (i % 8) * 32
+    vmm = F.when(i % 5 == 1, S.MSTP_CONTROL << 1 | S.MTIN_REQUEST << 4).when(i % 5 == 2, S.MSTP_CONTROL << 1 | S.MTIN_RESPONSE << 4).otherwise(F.col("ext.verb_mstp_mtin"))
+    m = messages(spark, sf).withColumn("htyp", htyp.cast("short")).withColumn("ext", F.col("ext").withField("verb_mstp_mtin", vmm.cast("short")))
+    flags = [C.has_flag(f).alias(n) for f, n in ((S.HTYP_BIG_ENDIAN, "big_endian"), (S.HTYP_EXT, "has_ext"), (S.HTYP_SESSION, "has_session"))]
+    return m.select("index", *flags, C.version().cast("long").alias("version"), C.is_ctrl_request().alias("request"), C.is_ctrl_response().alias("response"))
+
+
+@query("SELECT idx AS index, left(apid, (idx % 4 + 1)::INT) AS shown, list_sum(list_transform(range(1, least(4, idx % 4 + 1) + 1), lambda k: ascii(substr(apid, k, 1)) * pow(256, k - 1)))::BIGINT AS number, NULL::VARCHAR AS bad FROM m")
+def id_display(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids from text, shown again, and as a little-endian number; text beyond ASCII is no id."""
+    m = messages(spark, sf).withColumn("t", F.expr("left(decode(ext.apid, 'ISO-8859-1'), int(index % 4 + 1))"))
+    own = C.id_bytes(F.col("t"))
+    return m.select("index", C.id_text(own).alias("shown"), C.id_u32le(own).alias("number"), C.id_text(C.id_bytes(F.concat(F.lit("ä"), "t"))).alias("bad"))
+
+
+@query("SELECT idx AS index, txt AS back, NULL::VARCHAR AS bad FROM m")
+def hex_parse_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    dump = C.hex_dump(F.encode("payload_text", "UTF-8"))
+    text = lambda c: F.decode(C.hex_parse(c), "UTF-8")
+    return messages(spark, sf).select("index", text(dump).alias("back"), text(F.concat(dump, F.lit(" "))).alias("bad"))
+
+
+@query(f"SELECT idx AS index, CASE WHEN idx % 3 = 0 THEN rt ELSE least(rt, {BASE} + idx * 100) END AS calculated_time_us FROM m")
+def service_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of unknown lifecycles stand at their reception."""
+    m = messages(spark, sf).withColumns({"lifecycle": F.when(F.col("index") % 3 == 0, 99).otherwise(1).cast("long"), "timestamp_dms": F.col("index")})
+    lcs = spark.range(1, 2).select("id", F.lit(BASE).alias("start_time_us"))
+    return ordering.time_sort(m, lcs, unknown_at_reception=True).select("index", "calculated_time_us")
+
+
+@query(f", l AS (SELECT idx AS id, {BASE} + idx % 97 * 1000 AS s FROM m WHERE idx < 500), r AS (SELECT l.id, CASE WHEN l.id % 4 = 3 THEN greatest(l.s, o.s + 1) ELSE l.s END AS k FROM l LEFT JOIN l o ON o.id = l.id - 1) SELECT id, (row_number() OVER (ORDER BY k, id))::BIGINT AS place FROM r")
+def resumed_lifecycles(spark: SparkSession, sf: str) -> DataFrame:
+    """A resumed lifecycle stands behind where it came from, whatever its own start."""
+    start = lambda i: F.lit(BASE) + i % 97 * 1000
+    l = messages(spark, sf).where("index < 500").select(F.col("index").alias("id"), start(F.col("index")).alias("start_time_us"))  # noqa: E741
+    resume = F.struct((F.col("id") - 1).alias("id"), F.lit(0).cast("long").alias("max_timestamp_us"), start(F.col("id") - 1).alias("start_time_us"))
+    l = l.withColumn("resume", F.when(F.col("id") % 4 == 3, resume))  # noqa: E741
+    place = F.row_number().over(Window.orderBy("order_us", "id"))  # lifecycles are few
+    return ordering.resumed_order(l).select("id", place.cast("long").alias("place"))
+
+
+@query("SELECT idx AS first_index, 'E001 LC#7 f' || idx || '.bin ' || idx || ' ' || CASE WHEN idx % 3 = 0 THEN 'Error(-2, 5)' ELSE 'Complete' END AS line FROM m WHERE idx < 1000")
+def transfer_report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    m = messages(spark, sf).where("index < 1000")
+    bad = F.col("index") % 3 == 0
+    found = m.select(F.col("index").alias("first_index"), F.lit(b"E001").alias("ecu"), F.lit(7).alias("lifecycle"), F.concat(F.lit("f"), "index", F.lit(".bin")).alias("name"), F.col("index").alias("size"), F.when(bad, "Error").otherwise("Complete").alias("state"), F.lit(-2).alias("code"), F.lit(5).alias("errno"))
+    return sinks.transfer_report(found)
+
+
+@query(f"SELECT (idx % 2)::INT AS src_stream, row_number() OVER (PARTITION BY idx % 2 ORDER BY idx) - 1 AS index, ecu, apid, ctid, {TEXT} FROM m")
+def read_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Two files of one base name in different folders are two streams."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)  # write_dlt writes a file of the driver: executors have to see the folder
+    folder = Path(tempfile.mkdtemp(dir=urlsplit(shared).path if shared else None))
+    paths = []
+    for k in range(2):
+        (folder / str(k)).mkdir()
+        paths.append(str(folder / str(k) / "trace.dlt"))
+        sinks.write_dlt(read_back(spark, sf, lambda e, k=k: [_log(e)] if e[0] % 2 == k else []), paths[-1])
+    return ids(with_text(datasource.read_logs(spark, paths)), "src_stream", "payload_text")
+
+
+@query("SELECT k AS text, regexp_matches(k, '[\\^$*+?()\\[\\]{}|.\\-\\\\=!<>,]') AS special FROM (SELECT DISTINCT unnest([event_type, event_type || '.*', event_type || '-', '{' || event_type]) AS k FROM events)")
+def regex_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether an id given in a filter is meant as a pattern; decided on the driver, as filters are few."""
+    kinds = [r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct().collect()]
+    texts = [t for k in kinds for t in (k, f"{k}.*", f"{k}-", "{" + k)]
+    return spark.createDataFrame([(t, filters.has_regex_chars(t)) for t in texts], "text string, special boolean")
+
+
 @query(", c AS (SELECT ecu, apid, ctid, count(*) AS n FROM m GROUP BY ALL) SELECT ecu, apid, ctid, n AS nr_msgs, sum(n) OVER (PARTITION BY ecu, apid)::BIGINT AS app_msgs, sum(n) OVER (PARTITION BY ecu)::BIGINT AS ecu_msgs FROM c")
 def stats_tree_flat(spark: SparkSession, sf: str) -> DataFrame:
     """The nested statistics, taken apart again."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import filters, ordering, stats
 from ..operators.filters import EVENT, NEGATIVE, POSITIVE, Filter, Id
+from ..operators.plugins import export
 from .adapter import SQL, messages
 
 QUERIES: dict = {}
@@ -87,10 +88,9 @@ def filter_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT {I} FROM m WHERE level <= 4 AND idx BETWEEN 100 AND 2000 AND rt BETWEEN epoch_us(TIMESTAMP '2024-01-02') AND epoch_us(TIMESTAMP '2024-01-20')")
 def export_range(spark: SparkSession, sf: str) -> DataFrame:
-    m = filters.apply(messages(spark, sf), [Filter(level_max=4)])
     day = 86_400_000_000
     new_year = 1_704_067_200_000_000
-    return ids(m.where(F.col("index").between(100, 2000) & F.col("reception_time_us").between(new_year + day, new_year + 19 * day)))
+    return ids(export.select(messages(spark, sf), [Filter(level_max=4)], None, new_year + day, new_year + 19 * day, 100, 2000))
 
 
 @query("SELECT ecu, apid, ctid, count(*) AS nr_msgs FROM m GROUP BY ALL")
@@ -183,8 +183,7 @@ def verify_sort_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(", v AS (SELECT idx, lc, lag(lc) OVER (PARTITION BY ecu ORDER BY idx) AS before FROM u) SELECT idx AS index, lc AS lifecycle FROM v WHERE lc <> before")
 def verify_lc_order(spark: SparkSession, sf: str) -> DataFrame:
-    before = F.lag("lifecycle").over(Window.partitionBy("ecu").orderBy("index"))
-    return messages(spark, sf, True).withColumn("before", before).where(F.col("lifecycle") != F.col("before")).select("index", "lifecycle")
+    return ordering.lifecycle_changes(messages(spark, sf, True).withColumn("row_pos", F.col("index"))).select("index", "lifecycle")
 
 
 @query(f"{_SORTED}, d AS (SELECT idx, max(rt - t) OVER (PARTITION BY ecu, lc ORDER BY rt // 1000000 RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS d FROM c) SELECT idx AS index, d AS max_delay_us FROM d")

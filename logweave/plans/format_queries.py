@@ -408,6 +408,16 @@ def transfer_report_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.transfer_report(found)
 
 
+@query(f"SELECT (row_number() OVER (ORDER BY idx) - 1)::BIGINT AS index, ecu, apid, ctid, {TEXT} FROM m")
+def read_file_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """One file, read in ranges whose ends lie anywhere in its messages."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    path = str(Path(tempfile.mkdtemp(dir=urlsplit(shared).path if shared else None)) / "long.dlt")
+    sinks.write_dlt(read_back(spark, sf, lambda e: [_log(e)]), path)
+    m = ordering.numbered(datasource.read_ranges(spark, [path], 30_000).drop("index"), ["src_stream", "src_seq"])
+    return ids(with_text(m), "payload_text")
+
+
 @query(f"SELECT (idx % 2)::INT AS src_stream, row_number() OVER (PARTITION BY idx % 2 ORDER BY idx) - 1 AS index, ecu, apid, ctid, {TEXT} FROM m")
 def read_files(spark: SparkSession, sf: str) -> DataFrame:
     """Two files of one base name in different folders are two streams."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import count
@@ -95,8 +96,9 @@ def open_logs(spark: SparkSession, paths: list[str], sort: bool = True, plugins:
     groups = planning.streams(planning.resolve(paths))
     tables = []
     for i, group in enumerate(groups):
-        rows = datasource.read_logs(spark, group, kind)
-        rows = ordering.concat([rows]) if len(group) == 1 else ordering.numbered(rows.drop("index"), ["src_stream", "src_seq"])
+        large = all(os.path.isfile(p) and datasource.kind_of(p, kind) == "dlt" for p in group) and any(os.path.getsize(p) > datasource.CHUNK for p in group)
+        rows = datasource.read_ranges(spark, group) if large else datasource.read_logs(spark, group, kind)
+        rows = ordering.concat([rows]) if len(group) == 1 and not large else ordering.numbered(rows.drop("index"), ["src_stream", "src_seq"])
         tables.append(rows.withColumns({"src_stream": F.lit(i), "src_seq": F.col("index")}))
     msgs = tables[0]
     for t in tables[1:]:

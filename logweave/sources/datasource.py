@@ -7,6 +7,7 @@ local and mounted paths itself.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
@@ -42,6 +43,7 @@ def read_messages(raw: bytes, path: str, kind: str | None = None, names: text_fo
     return text_formats.read_genlog(lines, names, f"GL{number:02d}")
 
 
+CHUNK = 64 << 20
 NAMED = ("asc", "blf", "txt", "log")  # kinds whose files share names within an opening
 
 
@@ -118,6 +120,34 @@ def read_logs(spark: SparkSession, paths: list[str], kind: str | None = None) ->
     return files.mapInPandas(parse, MSG_SCHEMA)
 
 
+def read_ranges(spark: SparkSession, paths: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Messages of binary traces on a store that driver and executors have mounted, read in ranges of chunk bytes: a task holds one range, however large the files are.
+
+    A range begins at its first message, found by the headers; src_seq and index are the message's place in its file, which
+    ordering.numbered() makes dense.
+    """
+    import pandas as pd
+
+    sizes = [os.stat(p).st_size for p in paths]
+    parts = [(i, p, at, min(at + chunk, n)) for i, (p, n) in enumerate(zip(paths, sizes, strict=True)) for at in range(0, n, chunk)]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for stream, path, start, stop in b.itertuples(index=False):
+                rows = []
+                with open(path, "rb") as f:
+                    for at, msg in wire.scan_range(f, start, stop):
+                        msg.index = at
+                        rows.append(msg.row(path, stream, at))
+                        if len(rows) >= 20_000:
+                            yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
+                            rows = []
+                yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
+
+    table = spark.createDataFrame(parts, "stream int, path string, start long, stop long")
+    return table.repartition(max(1, len(parts)), "path", "start").mapInPandas(read, MSG_SCHEMA)
+
+
 class _Part(InputPartition):
     def __init__(self, stream: int, path: str, number: int, given: tuple | None):
         self.stream, self.path, self.number, self.given = stream, path, number, given

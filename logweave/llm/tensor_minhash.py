@@ -296,20 +296,20 @@ def links(docs: DataFrame, size: int = 2, percent: int = 80, half: int = HALF, k
     ids = cut(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "ids")
     classes = cut(some.join(ids, (some["doc_id"] == ids["id"]) & (some["s1"] == ids["s1"]) & (some["s2"] == ids["s2"])).select("id", "u", "v").dropDuplicates(["id"]), "classes")
     keys = band_keys(classes)
-    buckets = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low != high"), "buckets")
-    large = cut(buckets.where("n > 2").select("key", "low", "n"), "large")
-    members = cut(skew_join(keys, large, ["key"]).select("key", "id", "low"), "members")
-    stars = buckets.select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
-    pairs = cut(stars.distinct(), "stars")
+    buckets = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = cut(skew_join(keys, buckets, ["key"]).select("key", "id", "low", "n"), "members")
+    pairs = cut(members.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     texts = cut(texts_of(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired"), docs), "texts")
     edges = cut(confirm(pairs, texts, size, percent), "confirmed", free=True)
     discard(buckets)
     found = components(edges)
+    first = members
+    members = members.where("n > 2")  # of two members, the hub's pair was all there is
     for seed in range(rounds + 1):
         label = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         mixed = label.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 != c2").select("key", "n")
         rest = cut(skew_join(label, cut(mixed, f"mixed{seed}"), ["key"]).select("key", "id", "component"), f"rest{seed}")
-        discard(members)  # what is in one component needs no more rounds
+        discard(first if seed == 0 else members)  # what is in one component needs no more rounds
         members = rest
         if not rest.limit(1).count():
             break

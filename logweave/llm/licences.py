@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked, cut, literal, lower_ascii, table
+from .common import checked, cut, literal, table
 
 MAX_BROADCAST = 200_000
 
@@ -103,14 +103,15 @@ OTHER = [
 ]
 STOP = frozenset("a all an and any are as at be but by can do for from had has have he his if in is it its may no not of on or our out shall she so than that the their there this to under was we were which who will with you your".split())
 NAMES = frozenset("apache bsd cc cc0 creative commons attribution noncommercial nc sa sharealike gnu gpl lgpl lesser general mit mozilla mpl".split())
-PARAGRAPH = r"(?<=[.!?:;])[ \t\r]*\n|\n[ \t\r]*\n|\n(?=[ \t/*#;-]{0,8}SPDX-)|(?<=SPDX-License-Identifier: [^\n]{0,80})\n"
+# a line end counts behind the end of a sentence, before a blank line, and around the line of an SPDX tag; the rest is tried at line ends only
+PARAGRAPH = r"\n(?:(?<=[.!?:;][ \t\r]{0,8}\n)|(?=[ \t\r]*\n)|(?=[ \t/*#;-]{0,8}SPDX-)|(?<=SPDX-License-Identifier: [^\n]{0,80}\n))"
 WINDOW, STRIDE = 64, 32
 THRESHOLD, OVERLAP = 0.7, 0.6
 
 
 def words_of(text: str) -> list[str]:
     """Lowered words of a paragraph, as word_column() has them."""
-    return [x for x in re.split("[^a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if x]
+    return [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
 
 
 def grams(words: list[str]) -> list[str]:
@@ -123,7 +124,7 @@ def windows(words: list[str]) -> list[list[str]]:
 
 
 def word_column(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(text), "[^a-z0-9]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
 
 def pair_column(words: Column) -> Column:

@@ -501,6 +501,14 @@ def test_raking_meets_all_marginals_and_sampling_follows(spark):
     assert None not in {r["doc_id"] for r in rows}  # its cell has no tokens
 
 
+def test_rows_without_doc_id_draw_by_their_text(spark):
+    rng = random.Random(21)
+    rows = [(None, prose(rng, 30), "en", "a") for _ in range(200)] + [(7, prose(rng, 30), "en", "a")] * 2
+    kept = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keep=0.5).collect()
+    assert 60 < sum(r["doc_id"] is None for r in kept) < 140
+    assert sum(r["doc_id"] == 7 for r in kept) in (0, 2)  # equal rows share their draw
+
+
 def test_what_a_full_cell_cannot_give_others_give(spark):
     rows = [("a", "en", "long", 100), ("a", "de", "long", 900), ("b", "en", "long", 800), ("b", "de", "long", 200), ("b", "de", "short", 0)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")

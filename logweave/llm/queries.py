@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from pathlib import Path
 
-MODULES = ("toxicity", "decontaminate", "chat", "permutation_index", "line_spread", "tensor_minhash", "host_suffixes", "licences", "repeats", "mixing")
+MODULES = ("toxicity", "decontaminate", "chat", "permutation_index", "line_spread", "tensor_minhash", "host_suffixes", "licences", "repeats", "mixing", "filter_audit", "middle", "packing")
 
 
 def _gather(name: str) -> dict:

@@ -18,13 +18,15 @@ tokenizer has it; no documents give no rows; further columns of the input, whate
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
-import pyarrow.compute as pc
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,60 +45,103 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_space = np.zeros(256, bool)
+_space[[9, 10, 11, 12, 13, 32]] = True
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] = _lower[97:123]
+_letter = np.zeros(256, bool)
+_letter[97:123] = True
+_stop = np.zeros(256, bool)
+_stop[[ord("."), ord(",")]] = True
+
+
 class Encoder:
-    """Ids of texts, without special tokens, with an end token.
+    """Ids of texts, without special tokens, with an end token, for a vocabulary of lower case that drops white space.
 
-    No token, and no step of the tokenizer before its tokens, reaches over white space of ASCII, so that the different words
-    between such white space are encoded once and their ids are gathered. The ids of words seen before are kept, up to `memo`
-    of them, besides those of the texts at hand.
+    No token, and no step of the tokenizer before its tokens, reaches over white space of ASCII, nor from a letter to a stop or
+    comma before such white space. So the texts are cut there, the different words are encoded once, and their ids are
+    gathered. Of words of plain letters, which its steps before the merges leave as they are, only the merges are asked for.
+    The ids of words seen before are kept, up to `memo` of them, besides those of the texts at hand.
     """
 
-    def __init__(self, path: str, end: int = 0, memo: int = 200_000):
+    def __init__(self, path: str, end: int = 0, memo: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end, self.memo = Tokenizer.from_file(path), end, memo
-        self.known: dict[str, list[int]] = {}
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
+        self.known: dict[str, bytes] = {}
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = [c for c in map(chr, range(0x61, 0x180)) if c.isalpha() and self.tokenizer.normalizer.normalize_str(c) == c]
+        self.merged = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in plain}
+        self.plain = re.compile(f"[{''.join(plain)}]+")
+
+    def _encode(self, words: list[str]) -> None:
+        other, model = [], self.tokenizer.model
+        for w in words:
+            if self.plain.fullmatch(w):
+                self.known[w] = array("I", [t.id for t in model.tokenize(w if w.isascii() else w.translate(self.merged))]).tobytes()
+            else:
+                other.append(w)
+        for w, x in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[w] = array("I", x.ids).tobytes()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.memo:
             self.known, new = {}, words
-        for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = x.ids
-        return [self.known[w] for w in words]
+        self._encode(new)
+        return list(map(self.known.__getitem__, words))
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an Arrow array of texts, one after another, and the n + 1 bounds of the texts in them."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        per_text = np.append(words.offsets.to_numpy(), 0)[: len(texts) + 1].astype(np.int64)
-        coded = words.flatten().dictionary_encode()
+        data, offsets = raw_bytes(texts)
+        low = _lower[data]
+        held = low.tobytes()
+        if any(x in held for x in self.special):  # in capitals it would be no special token
+            low = data
+        word = ~_space[low]
+        first = np.zeros(len(low) + 1, bool)
+        first[offsets] = True
+        last = first[1:].copy()
+        last[:-1] |= ~word[1:]
+        first[1:-1] |= ~word[:-1]
+        first[1:-1] |= _stop[low[1:]] & _letter[low[:-1]] & last[1:]
+        starts = np.flatnonzero(word & first[:-1])
+        upto = np.zeros(len(low) + 1, np.int32)
+        np.cumsum(word, out=upto[1:])
+        values = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(upto[starts], upto[-1])), pa.py_buffer(low[word]))
+        per_text = np.searchsorted(starts, offsets)  # words before each text
+        coded = values.dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        first = np.cumsum(size) - size
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
         which = coded.indices.to_numpy()
         n = size[which]
-        upto = np.zeros(len(n) + 1, np.int64)  # ids before each word, end tokens aside
-        np.cumsum(n, out=upto[1:])
-        bounds = upto[per_text - per_text[0]] + np.arange(len(texts) + 1)
+        before = np.zeros(len(n) + 1, np.int64)  # ids before each word, end tokens aside
+        np.cumsum(n, out=before[1:])
+        bounds = before[per_text] + np.arange(len(texts) + 1)
         out = np.full(bounds[-1], self.end, np.uint32)
-        ends = np.zeros(len(out), bool)
-        ends[bounds[1:] - 1] = True
-        out[~ends] = flat[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])]
+        inner = np.ones(len(out), bool)
+        inner[bounds[1:] - 1] = False
+        out[inner] = flat[np.repeat(begin[which] - before[:-1], n) + np.arange(before[-1])]
         return out, bounds
 
 
+@cache
+def encoder(path: str, end: int) -> Encoder:
+    """One for each worker, so that its words serve the next tasks."""
+    return Encoder(path, end)
+
+
 def pieces(docs: DataFrame, size: int = SIZE, end: int = 0, path=vocabulary, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, chunk, place (and ids if asked for) of each piece of at most size tokens."""
-    import pyarrow as pa
-
     small_batches(docs.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
 
-        chunk, encode = TaskContext.get().partitionId(), Encoder(path(), end)
+        chunk, encode = TaskContext.get().partitionId(), encoder(path(), end)
         of_length = np.zeros(size + 1, np.int64)
 
         def rows(keys, texts):

@@ -137,13 +137,6 @@ def _hours(n: int) -> lifecycle.Limits:
     return lifecycle.Limits(n * h, n * h, n * h, n * h // 30, n * h // 6)
 
 
-@query()
-def lifecycle_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Lifecycles of the events; the gaps there are hours, so the limits are too."""
-    _, lcs = lifecycle.detect(messages(spark, sf, True), _hours(6))
-    return lcs.select("id", C.id_text(F.col("ecu")).alias("ecu"), "nr_msgs", "start_time_us", "max_timestamp_us")
-
-
 @query("SELECT ecu, count(*) AS nr_msgs FROM m GROUP BY ecu")
 def lifecycle_keeps_messages(spark: SparkSession, sf: str) -> DataFrame:
     """The messages of all lifecycles of an ECU together."""

@@ -126,9 +126,10 @@ def lifecycles(msgs: DataFrame, limits: Limits = Limits(), idle_ms: int | None =
                 r = Row(*x)
                 r.ecu, r.version = bytes(r.ecu), r.version if isinstance(r.version, str) else None
                 out += machine.add(r)
-        # only the last two lifecycles of an ECU are looked at again
+        # only the last two lifecycles of an ECU are looked at again, and what may still be merged with the one before it
         for ecu, lcs in machine.by_ecu.items():
-            machine.by_ecu[ecu] = lcs[-2:]
+            first = next((i for i, lc in enumerate(lcs) if lc.id in machine.open or not lc.given), len(lcs))
+            machine.by_ecu[ecu] = lcs[max(0, min(first - 1, len(lcs) - 2)) :]
         state.update((pickle.dumps(machine),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)

@@ -7,10 +7,13 @@ conjunction fails. Every test is two-valued: a missing id or header fails the te
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,25 @@ POSITIVE, NEGATIVE, MARKER, EVENT = 0, 1, 2, 3
 SPECIAL = set("^$*+?()[]{}|.-\\=!<>,")
 
 
+@cache
+def java_pattern(pattern: str) -> str | None:
+    """The pattern as Java takes it: scripts and categories that it names with Is are tried so; None if it refuses the pattern still."""
+    compiles = SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile
+    for p in (pattern, re.sub(r"\\([pP])\{(?!Is|In)(\w+)\}", r"\\\1{Is\2}", pattern)):
+        try:
+            compiles(p)
+        except IllegalArgumentException:
+            continue
+        return p
+    return None
+
+
+def found_in(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found in text; one that can't be compiled matches nothing."""
+    p = java_pattern(pattern)
+    return F.lit(False) if p is None else F.coalesce(text.rlike(p), F.lit(False))
+
+
 def has_regex_chars(text: str) -> bool:
     return any(c in SPECIAL for c in text)
 
@@ -31,7 +53,7 @@ class Id:
 
     def match(self, c: Column) -> Column:
         if self.regex:
-            return F.coalesce(F.decode(c, "ISO-8859-1").rlike(self.text), F.lit(False))
+            return found_in(F.decode(c, "ISO-8859-1"), self.text)
         return F.coalesce(c == F.lit(self.text.encode("ascii", "replace")[:4].ljust(4, b"\0")), F.lit(False))
 
 
@@ -78,7 +100,7 @@ class Filter:
 
     def text_test(self, text: Column) -> Column:
         if self.payload_regex is not None:
-            return F.coalesce(text.rlike(self.payload_regex), F.lit(False))
+            return found_in(text, self.payload_regex)
         if self.payload is not None:
             if self.ignore_case:
                 quoted = "\\Q" + self.payload.replace("\\E", "\\E\\\\E\\Q") + "\\E"

@@ -8,24 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .scan import BLOCK, running, staged
 
 
 def numbered(df: DataFrame, order: list, name: str = "index") -> DataFrame:
-    """df with a dense number from 0 in the given order.
+    """df with a dense number from 0 in the given order, which has to be total.
 
     A range sort deals the rows out in order, and each partition's first number is the sum of the counts before it: no
-    partition sees all rows. The sorted rows are persisted: counts and numbers must come from the same ranges, and a second
-    sort would sample other bounds.
+    partition sees all rows. The sorted rows are written to the shared folder: counts and numbers must come from the same
+    ranges, and a second sort would sample other bounds.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    parts = parts.persist()
-    parts = parts.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    parts = staged(parts.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}), "numbered")
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_p", "_first", before.alias("_before"))  # a row for each partition
-    out = parts.join(F.broadcast(starts), "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_before"))
-    return out.drop("_p", "_m", "_first", "_before")
+    starts = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", before.alias("_before"))  # a row for each partition
+    return parts.join(F.broadcast(starts), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def concat(streams: list[DataFrame]) -> DataFrame:
@@ -36,11 +34,13 @@ def concat(streams: list[DataFrame]) -> DataFrame:
     return numbered(all_.drop("index"), ["src_stream", "src_seq"])
 
 
-def merge(msgs: DataFrame) -> DataFrame:
-    """Streams (src_stream, src_seq) merged by reception time as a heap of their heads does it: by each stream's running maximum."""
-    upto = Window.partitionBy("src_stream").orderBy("src_seq").rowsBetween(Window.unboundedPreceding, 0)
-    key = F.max("reception_time_us").over(upto)
-    return numbered(msgs.withColumn("_key", key).drop("index"), ["_key", "src_stream", "src_seq"]).drop("_key")
+def merge(msgs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Streams (src_stream, src_seq) merged by reception time as a heap of their heads does it: by each stream's running maximum.
+
+    The maximum runs over blocks of a stream, so that one long stream takes many tasks.
+    """
+    rows = running(msgs, ["src_stream"], "src_seq", {"_key": ("max", F.col("reception_time_us"))}, block)
+    return numbered(rows.drop("index"), ["_key", "src_stream", "src_seq"]).drop("_key")
 
 
 def calculated_time(start: Column, unknown_at_reception: bool = False) -> Column:
@@ -53,12 +53,15 @@ def calculated_time(start: Column, unknown_at_reception: bool = False) -> Column
     return F.when(late, F.col("reception_time_us")).otherwise(t)
 
 
-def time_sort(msgs: DataFrame, lifecycles: DataFrame, unknown_at_reception: bool = False) -> DataFrame:
-    """msgs with calculated_time_us and its place row_pos in the order of (calculated time, index)."""
+def with_calculated_time(msgs: DataFrame, lifecycles: DataFrame, unknown_at_reception: bool = False) -> DataFrame:
     starts = lifecycles.select(F.col("id").alias("lifecycle"), "start_time_us")
     time = calculated_time(F.col("start_time_us"), unknown_at_reception)
-    out = msgs.join(starts, "lifecycle", "left").withColumn("calculated_time_us", time).drop("start_time_us")
-    return numbered(out, ["calculated_time_us", "index"], "row_pos")
+    return msgs.join(starts, "lifecycle", "left").withColumn("calculated_time_us", time).drop("start_time_us")
+
+
+def time_sort(msgs: DataFrame, lifecycles: DataFrame, unknown_at_reception: bool = False) -> DataFrame:
+    """msgs with calculated_time_us and its place row_pos in the order of (calculated time, index)."""
+    return numbered(with_calculated_time(msgs, lifecycles, unknown_at_reception), ["calculated_time_us", "index"], "row_pos")
 
 
 def page(df: DataFrame, first: int, last: int, position: str = "row_pos") -> DataFrame:

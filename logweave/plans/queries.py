@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import filters, ordering, stats
 from ..operators.filters import EVENT, NEGATIVE, POSITIVE, Filter, Id
 from ..operators.plugins import export
+from ..operators.positions import Positions
 from .adapter import SQL, messages
 
 QUERIES: dict = {}
@@ -144,10 +145,18 @@ _SORTED = """, l AS (SELECT ecu, lc, min(rt - dms * 100) AS start FROM u GROUP B
 c AS (SELECT u.*, least(start + dms * 100, rt) AS t FROM u JOIN l USING (ecu, lc)), o AS (SELECT *, row_number() OVER (ORDER BY t, idx) - 1 AS pos FROM c)"""
 
 
-def _sorted(spark: SparkSession, sf: str) -> DataFrame:
+def _timed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     m = messages(spark, sf, True).withColumn("lifecycle", F.concat_ws(":", C.id_text(F.col("ecu")), "lifecycle"))
     lcs = m.groupBy(F.col("lifecycle").alias("id")).agg(F.min(F.col("reception_time_us") - C.timestamp_us()).alias("start_time_us"))
-    return ordering.time_sort(m, lcs)
+    return m, lcs
+
+
+def _sorted(spark: SparkSession, sf: str) -> DataFrame:
+    return ordering.time_sort(*_timed(spark, sf))
+
+
+def _positions(spark: SparkSession, sf: str) -> Positions:
+    return Positions.build(ordering.with_calculated_time(*_timed(spark, sf)), ["calculated_time_us", "index"], ["calculated_time_us", "index"])
 
 
 @query(f"{_SORTED} SELECT idx AS index, t AS calculated_time_us, pos AS row_pos FROM o")
@@ -157,7 +166,7 @@ def time_sort(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_SORTED} SELECT idx AS index, pos AS row_pos FROM o WHERE pos >= 40 AND pos < 60")
 def window_page(spark: SparkSession, sf: str) -> DataFrame:
-    return ordering.page(_sorted(spark, sf), 40, 60).select("index", "row_pos")
+    return _positions(spark, sf).page(40, 60).select("index", "row_pos")
 
 
 @query(f"{_SORTED} SELECT pos AS row_pos FROM o WHERE pos >= 100 AND level = 2 ORDER BY pos LIMIT 50")
@@ -167,12 +176,12 @@ def search_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_SORTED} SELECT count(*) FILTER (WHERE t < epoch_us(TIMESTAMP '2024-01-10')) AS position FROM o")
 def binary_search_time(spark: SparkSession, sf: str) -> DataFrame:
-    return ordering.lower_bound(_sorted(spark, sf), F.col("calculated_time_us"), 1_704_844_800_000_000)
+    return _positions(spark, sf).lower_bound("calculated_time_us", 1_704_844_800_000_000)
 
 
 @query("SELECT count(*) FILTER (WHERE idx < 777) AS position FROM m")
 def binary_search_index(spark: SparkSession, sf: str) -> DataFrame:
-    return ordering.lower_bound(messages(spark, sf), F.col("index"), 777)
+    return Positions.build(messages(spark, sf), ["index"], ["index"]).lower_bound("index", 777)
 
 
 @query(", v AS (SELECT idx, lag(dms * 100) OVER (PARTITION BY ecu, apid, ctid ORDER BY idx) - dms * 100 AS back FROM u) SELECT idx AS index, back AS back_us FROM v WHERE back > 100000")

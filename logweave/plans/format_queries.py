@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import struct
-import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from datetime import date, datetime, timedelta
-from pathlib import Path
-from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +16,9 @@ from ..functions.payload import log_infos, with_text
 from ..operators import filters, lifecycle, ordering, stats
 from ..operators.filters import Filter
 from ..operators.plugins import can, export, model_decode, non_verbose, someip
+from ..operators.scan import hadoop, shared_dir
 from ..schema import MSG_SCHEMA
-from ..sources import binary_formats, datasource, text_formats, wire
+from ..sources import binary_formats, datasource, splits, text_formats, wire
 from . import sinks
 from .adapter import SQL, messages
 from .queries import I, ids
@@ -408,26 +407,29 @@ def transfer_report_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.transfer_report(found)
 
 
+def _parts(msgs: DataFrame, name: str) -> list[str]:
+    """Binary traces written by executors, one for each partition, in the shared folder: their paths in order."""
+    spark, folder = msgs.sparkSession, f"{shared_dir(msgs.sparkSession)}/logweave-{uuid.uuid4().hex}/{name}"
+    sinks.write_parts(msgs, folder)
+    fs, at = hadoop(spark, folder)
+    fs.deleteOnExit(at)
+    return sorted(str(f.getPath().toString()) for f in fs.listStatus(at) if str(f.getPath().getName()).endswith(".dlt"))
+
+
 @query(f"SELECT (row_number() OVER (ORDER BY idx) - 1)::BIGINT AS index, ecu, apid, ctid, {TEXT} FROM m")
 def read_file_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """One file, read in ranges whose ends lie anywhere in its messages."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = str(Path(tempfile.mkdtemp(dir=urlsplit(shared).path if shared else None)) / "long.dlt")
-    sinks.write_dlt(read_back(spark, sf, lambda e: [_log(e)]), path)
-    m = ordering.numbered(datasource.read_ranges(spark, [path], 30_000).drop("index"), ["src_stream", "src_seq"])
+    """Traces read in splits whose ends lie anywhere in their messages."""
+    paths = _parts(read_back(spark, sf, lambda e: [_log(e)]).repartitionByRange(2, "index"), "long")
+    m = ordering.numbered(splits.read_splits(spark, paths, split_bytes=1 << 20).drop("index"), ["src_stream", "src_seq"])
     return ids(with_text(m), "payload_text")
 
 
 @query(f"SELECT (idx % 2)::INT AS src_stream, row_number() OVER (PARTITION BY idx % 2 ORDER BY idx) - 1 AS index, ecu, apid, ctid, {TEXT} FROM m")
 def read_files(spark: SparkSession, sf: str) -> DataFrame:
     """Two files of one base name in different folders are two streams."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)  # write_dlt writes a file of the driver: executors have to see the folder
-    folder = Path(tempfile.mkdtemp(dir=urlsplit(shared).path if shared else None))
     paths = []
     for k in range(2):
-        (folder / str(k)).mkdir()
-        paths.append(str(folder / str(k) / "trace.dlt"))
-        sinks.write_dlt(read_back(spark, sf, lambda e, k=k: [_log(e)] if e[0] % 2 == k else []), paths[-1])
+        paths += _parts(read_back(spark, sf, lambda e, k=k: [_log(e)] if e[0] % 2 == k else []).coalesce(1), f"trace{k}")
     return ids(with_text(datasource.read_logs(spark, paths)), "src_stream", "payload_text")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,7 +15,7 @@ from ..functions.payload import log_infos, with_text
 from ..operators import filters, lifecycle, ordering, stats
 from ..operators.plugins import Plugin, chain
 from ..operators.positions import Cursor, Positions
-from ..sources import datasource, planning
+from ..sources import datasource, planning, splits
 
 
 class Unknown(KeyError):
@@ -173,8 +172,8 @@ def open_logs(spark: SparkSession, paths: list[str], sort: bool = True, plugins:
     groups = planning.streams(planning.resolve(paths))
     tables = []
     for i, group in enumerate(groups):
-        large = all(os.path.isfile(p) and datasource.kind_of(p, kind) == "dlt" for p in group) and any(os.path.getsize(p) > datasource.CHUNK for p in group)
-        rows = datasource.read_ranges(spark, group) if large else datasource.read_logs(spark, group, kind)
+        large = all(datasource.kind_of(p, kind) == "dlt" for p in group) and any(splits.size_of(spark, p) > datasource.CHUNK for p in group)
+        rows = splits.read_splits(spark, group) if large else datasource.read_logs(spark, group, kind)
         rows = ordering.concat([rows]) if len(group) == 1 and not large else ordering.numbered(rows.drop("index"), ["src_stream", "src_seq"])
         tables.append(rows.withColumns({"src_stream": F.lit(i), "src_seq": F.col("index")}))
     msgs = tables[0]

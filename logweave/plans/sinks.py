@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
+from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import columns as C
 from ..functions.payload import decoded_text
@@ -43,9 +47,72 @@ def write_dlt(msgs: DataFrame, path: str, order: str = "index") -> int:
     return n
 
 
+class Traces(DataSource):
+    """`df.write.format("vehicletrace")`: the column raw of each partition as one binary trace, part-NNNNN.dlt, written by its task.
+
+    Files are written where Python writes: local, mounted, or any store that pyarrow opens by its URI. A task writes under a
+    name of its own, which the driver changes when the job is done, so that a task that runs twice leaves one file.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "vehicletrace"
+
+    def schema(self):
+        return "raw binary"
+
+    def writer(self, schema, overwrite: bool):
+        return _TraceWriter(self.options["path"])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    part: int
+    name: str | None
+
+
+class _TraceWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def _store(self):
+        from pyarrow import fs
+
+        if self.path.startswith("file:"):
+            return fs.LocalFileSystem(), unquote(urlsplit(self.path).path)
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        part, name, out = TaskContext.get().partitionId(), f"_{uuid.uuid4().hex}.tmp", None
+        store, folder = self._store()
+        for row in iterator:
+            if out is None:
+                store.create_dir(folder)
+                out = store.open_output_stream(f"{folder}/{name}")
+            out.write(bytes(row["raw"]))
+        if out is not None:
+            out.close()
+        return _Written(part, name if out is not None else None)
+
+    def commit(self, messages):
+        store, folder = self._store()
+        for m in messages:
+            if m is not None and m.name:
+                store.move(f"{folder}/{m.name}", f"{folder}/part-{m.part:05d}.dlt")
+
+    def abort(self, messages):
+        store, folder = self._store()
+        for m in messages:
+            if m is not None and m.name:
+                store.delete_file(f"{folder}/{m.name}")
+
+
 def write_parts(msgs: DataFrame, path: str, order: str = "index") -> None:
-    """Binary data as a table of ordered chunks (chunk, raw), for traces that no single file should hold."""
-    serialised(msgs).select(order, "raw").repartitionByRange(order).sortWithinPartitions(order).write.parquet(path)
+    """Binary traces in a folder, one for each partition of msgs, in order within each; repartitionByRange(order) before makes them follow one another."""
+    msgs.sparkSession.dataSource.register(Traces)
+    serialised(msgs.sortWithinPartitions(order)).select("raw").write.format("vehicletrace").mode("append").save(path)
 
 
 def lines(msgs: DataFrame, style: str = "ascii", zone: str | None = None) -> DataFrame:

@@ -7,16 +7,17 @@ local and mounted paths itself.
 
 from __future__ import annotations
 
-import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
 from pathlib import PurePosixPath
-from urllib.parse import unquote, urlsplit
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.scan import hadoop
 from ..schema import MSG_SCHEMA
 from . import binary_formats, text_formats, wire
 
@@ -65,14 +66,18 @@ def asked_names(raw: bytes, path: str, kind: str | None) -> list[tuple[str, str
     return notes.asked
 
 
-def _place(uri: str, paths: list[str]) -> int:
-    """Which of paths a file that Spark reports belongs to: the path itself, a folder of it, or a pattern."""
-    own = unquote(urlsplit(uri).path)
-    plain = [urlsplit(p).path if "://" in p or p.startswith("file:") else p for p in paths]
-    for fits in (lambda p: own == p, lambda p: own.endswith("/" + p.lstrip("./")), lambda p: fnmatchcase(own, p), lambda p: own.startswith(p.rstrip("/") + "/")):
+def plain_uri(uri: str) -> str:
+    """file:/x and file:///x are one."""
+    return re.sub(r"^(\w+):/+(?=[^/])", r"\1:/", uri) if uri.startswith("file:") else uri
+
+
+def _place(uri: str, wanted: list[str]) -> int:
+    """Which of the wanted URIs a file that Spark reports belongs to: the path itself, a folder of it, or a pattern."""
+    own, plain = unquote(uri), [unquote(w) for w in wanted]
+    for fits in (lambda p: own == p, lambda p: fnmatchcase(own, p), lambda p: own.startswith(p.rstrip("/") + "/")):
         if found := [i for i, p in enumerate(plain) if fits(p)]:
             return found[0]
-    return len(paths)
+    return len(wanted)
 
 
 def read_logs(spark: SparkSession, paths: list[str], kind: str | None = None) -> DataFrame:
@@ -84,7 +89,8 @@ def read_logs(spark: SparkSession, paths: list[str], kind: str | None = None) ->
     import pandas as pd
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    order = sorted((r["path"] for r in files.select("path").distinct().toLocalIterator()), key=lambda u: (_place(u, paths), u))  # names of files only
+    wanted = [plain_uri(str(fs.makeQualified(at).toUri().toString())) for fs, at in (hadoop(spark, p) for p in paths)]
+    order = sorted((r["path"] for r in files.select("path").distinct().toLocalIterator()), key=lambda u: (_place(plain_uri(u), wanted), u))  # names of files only
     stream = {u: i for i, u in enumerate(order)}
     number = dict(zip(order, numbers(order, kind), strict=True))
     named = [u for u in order if kind_of(u, kind) in NAMED]
@@ -120,34 +126,6 @@ def read_logs(spark: SparkSession, paths: list[str], kind: str | None = None) ->
     return files.mapInPandas(parse, MSG_SCHEMA)
 
 
-def read_ranges(spark: SparkSession, paths: list[str], chunk: int = CHUNK) -> DataFrame:
-    """Messages of binary traces on a store that driver and executors have mounted, read in ranges of chunk bytes: a task holds one range, however large the files are.
-
-    A range begins at its first message, found by the headers; src_seq and index are the message's place in its file, which
-    ordering.numbered() makes dense.
-    """
-    import pandas as pd
-
-    sizes = [os.stat(p).st_size for p in paths]
-    parts = [(i, p, at, min(at + chunk, n)) for i, (p, n) in enumerate(zip(paths, sizes, strict=True)) for at in range(0, n, chunk)]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for stream, path, start, stop in b.itertuples(index=False):
-                rows = []
-                with open(path, "rb") as f:
-                    for at, msg in wire.scan_range(f, start, stop):
-                        msg.index = at
-                        rows.append(msg.row(path, stream, at))
-                        if len(rows) >= 20_000:
-                            yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
-                            rows = []
-                yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
-
-    table = spark.createDataFrame(parts, "stream int, path string, start long, stop long")
-    return table.repartition(max(1, len(parts)), "path", "start").mapInPandas(read, MSG_SCHEMA)
-
-
 class _Part(InputPartition):
     def __init__(self, stream: int, path: str, number: int, given: tuple | None):
         self.stream, self.path, self.number, self.given = stream, path, number, given

@@ -169,11 +169,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def neighbours(label: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's hub, another one for each seed, with the bucket's classes of other components; label: key, id, component."""
+    """Pairs (a, b) of each bucket's hub a, another one for each seed, with the bucket's classes of other components; label: key, id, component."""
     hub = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(seed)))
     hubs = label.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("n")).select("key", F.col("hub.id").alias("h"), F.col("hub.component").alias("hc"), "n")
     both = skew_join(label, cut(hubs, f"hubs{seed}"), ["key"]).where("component != hc")
-    return both.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+    return oriented(both.select(F.col("h").alias("a"), F.col("id").alias("b")))
+
+
+def oriented(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) once, in one of the ways it is there: a, whose text confirm() sends to its pairs, stays a hub."""
+    pair = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("a") <= F.col("b")).alias("forth"))
+    pair = pair.groupBy("x", "y").agg(F.max("forth").alias("forth"))
+    return pair.select(F.when(F.col("forth"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("forth"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -303,7 +310,7 @@ def links(docs: DataFrame, size: int = 2, percent: int = 80, half: int = HALF, k
     edges = cut(confirm(pairs, texts, size, percent), "confirmed", free=True)
     discard(buckets)
     found = components(edges)
-    first = members
+    first, done = members, pairs
     members = members.where("n > 2")  # of two members, the hub's pair was all there is
     for seed in range(rounds + 1):
         label = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -314,9 +321,9 @@ def links(docs: DataFrame, size: int = 2, percent: int = 80, half: int = HALF, k
         if not rest.limit(1).count():
             break
         more = neighbours(rest, seed) if seed < rounds else exhaustive(rest, texts, size, percent)
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"), f"more{seed}")
+        more = cut(more.join(done.union(done.select("b", "a")), ["a", "b"], "left_anti"), f"more{seed}")
         extra = cut(confirm(more, cut(texts_of(cut(rest.select("id").distinct(), f"ids{seed}"), texts), f"texts{seed}"), size, percent), f"confirmed{seed}", free=True)
-        pairs = pairs.union(more)
+        done = done.union(more)
         if extra.limit(1).count():
             edges = edges.union(extra)
             found = components(edges)

@@ -1,9 +1,10 @@
 """HTML extraction with a suffix array over the pages of a host.
 
 The markup is read into blocks of text. Where a page has an article or main element, its blocks are the article, but for the
-parts that are surely menus, forms, adverts, comments and the like; a part that is such only by a part of a class name or id
-("ad-astra") is left to the host's pages, as is the whole text of a page without such an element, what the markup marks
-aside. For these the token streams of a host's pages are concatenated and their suffixes sorted: where neighbours in the
+parts that are surely menus, forms, adverts, comments and the like; headings, and parts that are such only by a part of a class
+name or id ("ad-astra") or by a word that also names parts of articles ("post-header", "social"), are left to the host's pages, as is the whole text of a
+page without such an element, what the markup marks aside. A form or widget around an article is the page's, and an
+article's end tag closes what was left open in it. For these the token streams of a host's pages are concatenated and their suffixes sorted: where neighbours in the
 suffix array have a common prefix of `min_tokens` tokens, and such neighbours stand on `min_pages` distinct pages, the
 tokens are a repeated run, which goes; all else stays. Blocks outside of articles take part in the streams, whatever their
 marks, and runs may reach over blocks (a menu's items), but not over an article's own text.
@@ -49,12 +50,16 @@ FRAME = frozenset(
     "article area bar block blocks body bottom box button buttons container content desktop entry field fixed float frame global group holder inner item items layer left link links list main mobile outer overlay page panel post primary reader right row secondary section site slot small sticky story thread top unit user wide widgets wrap wrapper".split()
 )
 SURE, MAYBE = 2, 1
+# words that name parts of articles as well: inside of one, the host's pages decide
+OPEN = frozenset("header masthead navigation notice social".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WRAPPER = 3  # mark of a form or widget around: SURE unless an article element stands in it
 
 
 def _mark(name: str, attrs: str, inside: bool) -> int:
-    """SURE where name and attributes say that the element is no article text, MAYBE where only a part of a class name or id of an element in an article does."""
+    """What name and attributes say of an element: SURE that it is no article text, MAYBE for a class or id of a heading or an element in an article that can mean its text too, WRAPPER for forms and widgets outside."""
     if name in SKIP and not (inside and name == "header"):
-        return SURE
+        return WRAPPER if name == "form" and not inside else SURE
     found = 0
     for m in ATTR.finditer(attrs) if attrs and not attrs.isspace() else ():
         key = m[1].lower()
@@ -63,8 +68,15 @@ def _mark(name: str, attrs: str, inside: bool) -> int:
             known = WORDS if name not in LANDMARK else frozenset(("comment", "comments"))
             for one in value.split():
                 parts = [w for w in re.split(r"[^a-z]+", one) if w]
-                if any(w in known for w in parts):
-                    found = SURE if not inside or all(w in WORDS or w in FRAME for w in parts) else max(found, MAYBE)
+                hit = {w for w in parts if w in known}
+                if not hit or inside and name == "header":
+                    continue
+                if not inside:
+                    found = WRAPPER if hit == {"widget"} and found in (0, WRAPPER) else SURE
+                elif name in HEADINGS or hit <= OPEN or not all(w in WORDS or w in FRAME for w in parts):
+                    found = max(found, MAYBE)
+                else:
+                    found = SURE
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return SURE
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -81,14 +93,14 @@ def blocks(html: str | None) -> tuple[list[tuple[str, bool, int]], bool]:
         return out, False
     parts: list[str] = []
     inside, landmarks = 0, False
-    open_: list[list] = []  # marked elements around: name, how many of that name are open, mark
+    open_: list[list] = []  # marked elements around: name, how many of that name are open, mark, article elements around it, article elements in it that do not count
 
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, inside > 0, max((m for _, _, m in open_), default=0)))
+                out.append((text, inside > 0, min(SURE, max((x[2] for x in open_), default=0))))
 
     at, end = 0, len(html)
     while at < end:
@@ -120,7 +132,11 @@ def blocks(html: str | None) -> tuple[list[tuple[str, bool, int]], bool]:
                 open_[-1][1] -= 1
                 if not open_[-1][1]:
                     open_.pop()
-            elif name in LANDMARK and inside and not any(k == SURE for _, _, k in open_):
+            elif name in LANDMARK and open_ and open_[-1][4]:
+                open_[-1][4] -= 1
+            elif name in LANDMARK and inside:
+                while open_ and open_[-1][3] >= inside:  # what was left unclosed in it ends with it
+                    open_.pop()
                 inside -= 1
             continue
         if name in VOID or m[3].endswith("/") and name not in LANDMARK:
@@ -130,13 +146,18 @@ def blocks(html: str | None) -> tuple[list[tuple[str, bool, int]], bool]:
         if open_ and name == open_[-1][0]:
             open_[-1][1] += 1
             continue
-        if any(k == SURE for _, _, k in open_):
+        if any(x[2] == SURE for x in open_):
+            if name in LANDMARK:
+                open_[-1][4] += 1
             continue
-        if mark := _mark(name, m[3], inside > 0):
-            open_.append([name, 1, mark])
-        elif name in LANDMARK:
+        mark = _mark(name, m[3], inside > 0)
+        if name in LANDMARK and not mark:
+            for x in open_:  # a form or widget around an article is the page's
+                x[2] = 0 if x[2] == WRAPPER else x[2]
             inside += 1
             landmarks = True
+        elif mark and not (mark == WRAPPER and any(x[2] == WRAPPER for x in open_) and name != "form"):
+            open_.append([name, 1, mark, inside, 0])
     flush()
     return out, landmarks
 

@@ -10,7 +10,8 @@ stands alone), and paragraphs of over `WINDOW` words are cut to windows that ove
 model is scored: its words and pairs are joined with the weight table (its size is fixed by the notices) and summed by
 family. A window without such words has the unknown class, so leaving it out loses nothing. A prediction counts if its
 calibrated probability reaches `threshold`. It is confirmed if the window holds `overlap` of the word pairs of one of the
-family's notices, where a pair that several families share counts for less.
+family's notices, where a pair that several families share counts for less, and none of the pairs that tell the family's near
+relatives (another version, ND, SA, -0) apart.
 
 Edge cases: null and empty texts have no paragraphs; ties between families go to the alphabetically first; of two notices in
 one window the likelier family is given; repeated rows are scanned each; extra columns pass through scan() unread.
@@ -100,11 +101,25 @@ OTHER = [
     "This is free and unencumbered software released into the public domain.", "Licensed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Licensed under the Artistic License 2.0.",
     "The contents of this file are subject to the Common Development and Distribution License, version 1.0.", "This program is free software: you can redistribute it under the terms of the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
     "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Licensed under the Open Data Commons Open Database License.", "Licensed under the Academic Free License version 3.0.", "Licensed under the PostgreSQL License.", "Licensed under the Microsoft Public License.",
+    "SPDX-License-Identifier: MIT-0", "Licensed under the MIT No Attribution License.", "SPDX-License-Identifier: Apache-1.1", "Licensed under the Apache Software License, Version 1.1.", "SPDX-License-Identifier: MPL-1.1", "SPDX-License-Identifier: GPL-1.0-only",
+    "SPDX-License-Identifier: CC-BY-ND-4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
 ]
+# fixed values: word pairs of each family's near relatives; a window that holds one is no notice of the family
+RELATIVES = {
+    "Apache-2.0": ["apache 1", "version 1", "license 1"],
+    "CC-BY": ["by nc", "by nd", "by sa", "attribution noncommercial", "attribution noderivatives", "attribution noderivs", "attribution sharealike", "non commercial", "share alike", "no derivatives"],
+    "CC-BY-NC": ["nc nd", "nc sa", "noncommercial noderivatives", "noncommercial noderivs", "noncommercial sharealike", "share alike", "no derivatives"],
+    "CC-BY-SA": ["by nc", "nc sa", "attribution noncommercial", "non commercial"],
+    "GPL-2.0": ["gpl 1", "gpl 3", "version 1", "version 3", "gnu lesser", "gnu library", "gnu affero", "agpl 3", "lgpl 2"],
+    "GPL-3.0": ["gpl 1", "gpl 2", "version 1", "version 2", "gnu lesser", "gnu library", "gnu affero", "agpl 3", "lgpl 3"],
+    "MIT": ["mit 0", "no attribution"],
+    "MPL-2.0": ["mpl 1", "license 1", "version 1", "v 1"],
+}
 STOP = frozenset("a all an and any are as at be but by can do for from had has have he his if in is it its may no not of on or our out shall she so than that the their there this to under was we were which who will with you your".split())
 NAMES = frozenset("apache bsd cc cc0 creative commons attribution noncommercial nc sa sharealike gnu gpl lgpl lesser general mit mozilla mpl".split())
 # a line end counts behind the end of a sentence, before a blank line, and around the line of an SPDX tag; the rest is tried at line ends only
-PARAGRAPH = r"\n(?:(?<=[.!?:;][ \t\r]{0,8}\n)|(?=[ \t\r]*\n)|(?=[ \t/*#;-]{0,8}SPDX-)|(?<=SPDX-License-Identifier: [^\n]{0,80}\n))"
+PARAGRAPH = r"\n(?:(?<=[.!?:;]\n)|(?=\n)|(?=[^\nA-Za-z0-9]*SPDX-License-Identifier:)|(?<=\x00\n))"
 WINDOW, STRIDE = 64, 32
 THRESHOLD, OVERLAP = 0.7, 0.6
 
@@ -123,6 +138,12 @@ def windows(words: list[str]) -> list[list[str]]:
     return [words] if len(words) <= WINDOW else [words[i : i + WINDOW] for i in range(0, len(words) - STRIDE, STRIDE)]
 
 
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text: blanks before line ends go, and the line of an SPDX tag gets a mark at its end."""
+    plain = F.regexp_replace(F.translate(text, "\0", " "), r"[ \t\r]+(?=\n|\z)", "")
+    return F.split(F.regexp_replace(plain, r"(SPDX-License-Identifier:[^\n]*)\n", "$1\0\n"), PARAGRAPH)
+
+
 def word_column(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
@@ -239,7 +260,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP
     table_ = F.broadcast(literal(spark, [{"gram": g, "w": w} for g, w in weights.items()], "gram string, w array<double>"))
     cues = sorted({x for g in weights for x in g.split(" ") if x not in STOP})
     own = [c for c in docs.columns if c not in ("text", "pos", "window", "words", "family", "probability", "overlap", "confirmed")]
-    found = docs.select(F.struct(*own).alias("own") if own else F.lit(0).alias("own"), F.posexplode(F.split("text", PARAGRAPH)).alias("pos", "paragraph"))
+    found = docs.select(F.struct(*own).alias("own") if own else F.lit(0).alias("own"), F.posexplode(paragraphs(F.col("text"))).alias("pos", "paragraph"))
     found = found.select("own", "pos", word_column(F.col("paragraph")).alias("all")).where(F.exists("all", lambda x: x.isin(cues)))
     found = found.select("own", "pos", F.posexplode(window_column(F.col("all"))).alias("window", "words"))
     h = [F.xxhash64(F.lit(k), "words").alias(f"h{k}") for k in (1, 2)]
@@ -263,7 +284,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP
     seen = once.join(checked(scored, MAX_BROADCAST), ["h1", "h2"]).select("h1", "h2", "family", F.explode(F.array_distinct(pair_column(F.col("words")))).alias("pair"))
     compared = seen.join(pairs, ["family", "pair"]).groupBy("h1", "h2", "template").agg(F.sum("share").alias("share")).groupBy("h1", "h2").agg(F.max("share").alias("overlap"))
     out = hits.join(checked(cut(compared, "compared"), MAX_BROADCAST), ["h1", "h2"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
-    return out.select(*[F.col(f"own.{c}").alias(c) for c in own], "pos", "window", "words", "family", "probability", "overlap", (F.col("overlap") >= overlap).alias("confirmed"))
+    relatives = F.create_map(*[F.lit(x) for f, pairs_ in RELATIVES.items() for x in (f, pairs_)])
+    other = F.coalesce(F.arrays_overlap(pair_column(F.col("words")), F.try_element_at(relatives, F.col("family"))), F.lit(False))
+    return out.select(*[F.col(f"own.{c}").alias(c) for c in own], "pos", "window", "words", "family", "probability", "overlap", ((F.col("overlap") >= overlap) & ~other).alias("confirmed"))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

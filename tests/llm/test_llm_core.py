@@ -529,3 +529,54 @@ def test_one_query_an_operator(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+# --- markup around and in articles, near relatives of licences ---------------------------------------
+
+MARKUP = [
+    ('<body><form id="aspnetForm"><div>Menu</div><article><h1>T</h1><p>Hello you</p></article><p>foot</p></form>', ["T", "Hello you"]),
+    ('<article><h1 class="post-header">Title</h1><p>x</p></article>', ["Title", "x"]),
+    ('<article><div class="article-header"><h1>Title</h1></div><p>x</p></article>', ["Title", "x"]),
+    ('<article><h2 id="navigation">Nav</h2><section id="social"><p>Social life of ants.</p></section></article>', ["Nav", "Social life of ants."]),
+    ("<article><p>one</p><nav><a>x</a><p>two</p></article><p>after</p><article>more</article>", ["one", "more"]),
+    ('<article><p>one</p><div class="ad">buy<p>two</p></article><main>m</main>', ["one", "m"]),
+    ('<div class="elementor-widget"><main><p>in</p></main></div>', ["in"]),
+    ('<div class="comments"><article><p>c1</p></article><article>c2</article></div><article>real</article>', ["real"]),
+    ("<aside><article>teaser</article></aside><article>real<form>sign up <b>now</b></form> rest</article>", ["real", "rest"]),
+    ('<article>a<div class="share">share this</div>b</article>', ["a", "b"]),
+]
+
+
+@pytest.mark.parametrize("html,kept", MARKUP)
+def test_articles_in_forms_and_marks_in_articles(html, kept):
+    found, landmarks = host_suffixes.blocks(html)
+    assert [t for (t, _, _), s in zip(found, host_suffixes.left_open(found, landmarks), strict=True) if s] == kept
+
+
+def test_a_heading_marked_by_its_class_stays_unless_the_host_repeats_it(spark):
+    rng = random.Random(8)
+    again = "Read more about all of our great offers today"
+    pages = [(i, "http://h.example/", f'<article><h1 class="post-header">{prose(rng, 8)}</h1><div class="social">{again}</div><p>{prose(rng, 30)}</p></article>') for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in host_suffixes.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, html in pages:
+        title, body = re.search(r"<h1[^>]*>(.*?)</h1>", html)[1], re.search(r"<p>(.*?)</p>", html)[1]
+        assert got[i] == f"{title} {body}"
+
+
+def test_near_relatives_are_not_confirmed(spark):
+    others = [
+        "SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0", "SPDX-License-Identifier: Apache-1.1", "Licensed under the Apache License, Version 1.1.", "SPDX-License-Identifier: CC-BY-ND-4.0",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 3.0.", "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: GPL-1.0-or-later", "SPDX-License-Identifier: MPL-1.1",
+    ]
+    own = {"SPDX-License-Identifier: MIT": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0"}
+    texts = [*others, *own]
+    docs = docs_of(spark, list(enumerate(texts)))
+    found = [(texts[r["doc_id"]], r["family"]) for r in licences.scan(docs).where("confirmed").collect()]
+    assert dict(found) == own
+
+
+def test_paragraphs_end_whatever_stands_around_their_ends(spark):
+    mit = "Released under the MIT License."
+    texts = [f"One sentence here.{' ' * 30}\n{mit}", "Some text\n" + "#" * 40 + " SPDX-License-Identifier: MIT " + "x" * 3 + "\nmore text", f"words\n \t \n{mit}\n\nmore", f"{mit}\0", f"a.\r\n{mit}\r\n"]
+    found = {r["doc_id"] for r in licences.scan(docs_of(spark, list(enumerate(texts)))).where("confirmed and family = 'MIT'").collect()}
+    assert found == {0, 1, 2, 3, 4}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators.filters import Filter, Id, combined
+from ..operators.lifecycle import Limits
 from ..operators.positions import Cursor, Positions
+from ..operators.scan import hadoop, shared_dir
+from ..streaming import feed, live
+from ..streaming.reorder import ByTime, Fifo, Smallest, reordered
 from .adapter import SQL, messages
+from .lifecycle_queries import _ROUGH, _rules, rough
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,7 +25,7 @@ ORACLE_SQL: dict[str, str] = {}
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = f"WITH {SQL}{'' if sql[0] == ',' else chr(10)}{sql}"
+        ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {SQL}{'' if sql[0] == ',' else chr(10)}{sql}"
         return f
 
     return add
@@ -75,3 +81,94 @@ def filtered_positions(spark: SparkSession, sf: str) -> DataFrame:
     """A filtered view has positions of its own over the same table; below: what lies under an index."""
     view = _laid_out(spark, sf).filtered(combined([Filter(level_max=3)]), "pos")
     return view.page(100, 900).select("pos", "index").unionByName(view.lower_bound("index", 2500).select(F.lit(-1).cast("long").alias("pos"), F.col("position").alias("index")))
+
+
+def in_steps(df: DataFrame, name: str, steps: int = 3) -> str:
+    """df in files of growing index, in the shared folder, for a stream to read one after another."""
+    path = f"{shared_dir(df.sparkSession)}/logweave-{uuid.uuid4().hex}/{name}"
+    fs, at = hadoop(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    top = df.agg(F.max("index")).first()[0] or 0
+    for k in range(steps):
+        low, high = (top + 1) * k // steps, (top + 1) * (k + 1) // steps
+        df.where((F.col("index") >= low) & (F.col("index") < high)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def arriving(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for all that is there, as a table."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/logweave-{uuid.uuid4().hex}/{name}"
+    fs, at = hadoop(spark, path)
+    fs.deleteOnExit(at)
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _late(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that arrive up to some minutes after their time; each ECU is a stream."""
+    m = messages(spark, sf)
+    late = F.col("index") * 7919 % 600 * 1_000_000
+    return m.select("index", (F.col("reception_time_us") - late).alias("calculated_time_us"), "reception_time_us", "ecu", F.lit(1).cast("long").alias("lifecycle"), C.id_text(F.col("ecu")).alias("src_stream"), F.col("ext.apid").alias("apid"))
+
+
+_LATE = ", a AS (SELECT idx, ecu, rt, rt - idx * 7919 % 600 * 1000000 AS t, row_number() OVER (PARTITION BY ecu ORDER BY idx) AS n FROM m)"
+
+
+@query(f"""{_LATE}, e AS (SELECT r.ecu, r.idx, r.t, min(x.n) AS e FROM a r JOIN a x ON x.ecu = r.ecu AND x.n >= r.n AND x.rt > r.t + 300000000 GROUP BY ALL)
+SELECT ecu, idx AS index, row_number() OVER (PARTITION BY ecu ORDER BY e, t, idx) - 1 AS out_seq FROM e""")
+def reorder_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows go out in order of their time once it is five minutes before the latest reception; later ones at once."""
+    rows = _late(spark, sf)
+    out = drained(reordered(arriving(spark, in_steps(rows, "late"), rows.schema), ByTime(300_000_000)), "by_time")
+    return out.select(F.col("src_stream").alias("ecu"), "index", "out_seq")
+
+
+@query(f"""{_LATE}, z AS (SELECT ecu, 0::BIGINT AS n, []::STRUCT(t BIGINT, i BIGINT)[] AS h, NULL::BIGINT AS gone FROM (SELECT DISTINCT ecu FROM a)
+  UNION ALL SELECT a.ecu, a.n, list_sort(list_append(CASE WHEN len(z.h) = 8 THEN z.h[2:] ELSE z.h END, {{'t': a.t, 'i': a.idx}})), CASE WHEN len(z.h) = 8 THEN z.h[1].i END FROM z JOIN a ON a.ecu = z.ecu AND a.n = z.n + 1)
+SELECT ecu, gone AS index, row_number() OVER (PARTITION BY ecu ORDER BY n) - 1 AS out_seq FROM z WHERE gone IS NOT NULL""")
+def reorder_by_count(spark: SparkSession, sf: str) -> DataFrame:
+    """The smallest of eight rows goes out before another one comes in."""
+    rows = _late(spark, sf)
+    out = drained(reordered(arriving(spark, in_steps(rows, "late"), rows.schema), Smallest(8)), "by_count")
+    return out.select(F.col("src_stream").alias("ecu"), "index", "out_seq")
+
+
+@query(f"{_LATE} SELECT ecu, idx AS index, n - 1 AS out_seq FROM a WHERE n <= (SELECT max(n) - 25 FROM a b WHERE b.ecu = a.ecu)")
+def delay_by_count(spark: SparkSession, sf: str) -> DataFrame:
+    """The last 25 rows of each stream wait."""
+    rows = _late(spark, sf)
+    out = drained(reordered(arriving(spark, in_steps(rows, "late"), rows.schema), Fifo(25)), "delay")
+    return out.select(F.col("src_stream").alias("ecu"), "index", "out_seq")
+
+
+def _feed(spark: SparkSession, changes: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/logweave-{uuid.uuid4().hex}/{name}"
+    fs, at = hadoop(spark, path)
+    fs.deleteOnExit(at)
+    feed.publish(changes, f"{path}/feed", f"{path}/state").awaitTermination()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.schema) + ", generation int"
+    return feed.read(spark, f"{path}/feed", schema)
+
+
+@query("SELECT ecu, apid, ctid, count(*) AS nr_msgs, 3 AS generations FROM m GROUP BY ALL")
+def feed_of_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that changed in each of three generations add up to those of all messages."""
+    m = messages(spark, sf).select("index", "ecu", "ext")
+    found = _feed(spark, live.statistics(arriving(spark, in_steps(m, "counted"), m.schema)), "counts")
+    n = found.agg(F.count_distinct("generation").cast("int").alias("generations"))
+    return feed.fold(found, ["ecu", "apid", "ctid"]).select(*[C.id_text(F.col(c)).alias(c) for c in ("ecu", "apid", "ctid")], "nr_msgs").crossJoin(F.broadcast(n))
+
+
+@query(f", {_ROUGH},\n{_rules(Limits())}\nSELECT ecu, first AS first_index, n AS nr_msgs, q AS nr_control_req_msgs, s AS start_time_us, mn AS min_timestamp_us, mx AS max_timestamp_us, last AS last_reception_time_us, rf AS resume_from, v AS sw_version FROM l")
+def feed_of_lifecycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Lifecycles as they change in three generations, merged ones gone, add up to those of all messages."""
+    m = rough(spark, sf)
+    found = _feed(spark, feed.lifecycle_changes(arriving(spark, in_steps(m, "rough"), m.schema)), "lifecycles")
+    names = ("first_index", "nr_msgs", "nr_control_req_msgs", "start_time_us", "min_timestamp_us", "max_timestamp_us", "last_reception_time_us", "resume_from", "sw_version")
+    return feed.fold(found, ["ecu", "first_index"]).select(C.id_text(F.col("ecu")).alias("ecu"), *names)

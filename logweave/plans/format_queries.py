@@ -288,19 +288,28 @@ def non_verbose_decode(spark: SparkSession, sf: str) -> DataFrame:
     return ids(m, C.log_level().cast("long").alias("level"), "payload_text")
 
 
-@query("SELECT idx AS index, 'Speed [0x40] v=' || (idx % 4096) || ', on=' || level AS payload_text FROM m")
+_CAN_SIGNALS = [
+    can.Signal("v", 0, 12), can.Signal("on", 12, 4, texts={2: "error", 3: "paid"}), can.Signal("be", 16, 12, big_endian=True), can.Signal("t", 28, 12, big_endian=True, signed=True, factor=0.5, offset=-40.0, unit="C"),
+    can.Signal("n", 40, 7, signed=True, invalid=((63, 63),)), can.Signal("wide", 3, 60), can.Signal("past", 60, 8),
+]
+
+
+@query("""SELECT idx AS index, 'Speed [0x40] v=' || (idx % 4096) || ', on=' || CASE level WHEN 2 THEN 'error' WHEN 3 THEN 'paid' ELSE level::VARCHAR END || ', be=' || (idx * 7 % 4096) || ', t=' || ((CASE WHEN idx * 5 % 4096 >= 2048 THEN idx * 5 % 4096 - 4096 ELSE idx * 5 % 4096 END) * 0.5 - 40)::DOUBLE
+  || ' C, n=' || CASE WHEN idx % 128 = 63 THEN 'invalid' ELSE (CASE WHEN idx % 128 >= 64 THEN idx % 128 - 128 ELSE idx % 128 END)::VARCHAR END
+  || ', wide=' || ((idx % 4096 + level * 4096 + (idx * 7 % 4096 // 16) * 65536 + ((idx * 7 % 16) * 16 + idx * 5 % 4096 // 256) * 16777216 + (idx * 5 % 256) * 4294967296 + (idx % 128) * 1099511627776 + 17::BIGINT * 281474976710656 + 1::BIGINT * 72057594037927936) // 8) AS payload_text FROM m""")
 def can_decode(spark: SparkSession, sf: str) -> DataFrame:
-    """Signals of a channel's frame: 12 bits and 4 bits of two bytes."""
-    table = {"Body": {0x40: ("Speed", [can.Signal("v", 0, 12), can.Signal("on", 12, 4)])}}
+    """Signals of both byte orders over byte ends, scaled, signed, with text tables and invalid values; all in native expressions."""
+    table = {"Body": {0x40: ("Speed", _CAN_SIGNALS)}}
 
     def read(e):
         i, us = int(e[0]), int(e.us) % DAY
-        word = i % 4096 | int(e.level) << 12
-        lines = ["date Mon Jan 01 12:00:00.000 am 2024", "//BusMapping: CAN 1 = Body", f" {us // US}.{us % US:06d} 1  40  Rx   d 2 {word & 255:02x} {word >> 8:02x}  Length = 1"]
+        word, big = i % 4096 | int(e.level) << 12, i * 7 % 4096 << 12 | i * 5 % 4096
+        data = bytes([word & 255, word >> 8, big >> 16, big >> 8 & 255, big & 255, i % 128, 17, 1])
+        lines = ["date Mon Jan 01 12:00:00.000 am 2024", "//BusMapping: CAN 1 = Body", f" {us // US}.{us % US:06d} 1  40  Rx   d 8 {data.hex(' ')}  Length = 1"]
         return text_formats.read_asc(lines)
 
     found = can.decode(read_back(spark, sf, read), table)
-    return found.where("ext.noar = 2 and payload_text is not null and length(payload) = 6").select("index", "payload_text")
+    return found.where("ext.noar = 2 and payload_text is not null and length(payload) = 12").select("index", "payload_text")
 
 
 @query("SELECT idx AS index, 'request svc[7].go (0001:' || lpad(lower(to_hex(idx % 65536)), 4, '0') || ') v1 rc=0 ' || lpad(lower(to_hex(idx % 251)), 2, '0') || ' ' || lpad(lower(to_hex(level)), 2, '0') AS payload_text FROM m")

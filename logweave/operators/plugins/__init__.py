@@ -20,14 +20,15 @@ def chain(msgs: DataFrame, plugins: list[Plugin]) -> DataFrame:
 
 def from_config(config: dict) -> Plugin | None:
     """A transformer by its configuration's name; None if it is disabled."""
-    from . import anonymize, can, file_transfer, model_decode, non_verbose, rewrite, someip
+    from . import anonymize, can, model_decode, non_verbose, rewrite, someip, state
 
     makers = {
         "Rewrite": lambda c: rewrite.from_config(c),
         "Anonymize": lambda c: anonymize.anonymize,
         "NonVerbose": lambda c: non_verbose.from_dir(c["fibexDir"]),
         "Muniic": lambda c: model_decode.from_dir(c["jsonDir"]),
-        "FileTransfer": lambda c: file_transfer.dropper(c),
+        "FileTransfer": lambda c: state.Transfers(c),
+        "Export": lambda c: state.Export(c),
         "SomeIp": lambda c: someip.from_config(c),
         "CAN": lambda c: can.from_dir(c["fibexDir"]),
     }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.payload import log_infos, with_text
 from ..operators import filters, lifecycle, ordering, stats
 from ..operators.plugins import Plugin, chain
+from ..operators.plugins.state import State
 from ..operators.positions import Cursor, Positions
 from ..sources import datasource, planning, splits
 
@@ -115,6 +116,7 @@ class Session:
     table: Positions
     lifecycles: DataFrame
     sorted: bool = True
+    plugins: dict[str, Plugin] = field(default_factory=dict)  # those with a state, by name
     paused: bool = False
     streams: dict[int, Stream] = field(default_factory=dict)
     numbers: Iterator[int] = field(default_factory=lambda: count(1))
@@ -156,6 +158,16 @@ class Session:
     def resume(self) -> None:
         self.paused = False
 
+    def plugin_states(self, seen: dict[str, int] | None = None) -> dict[str, State]:
+        """The states of plugins that changed since the generations that a viewer has seen."""
+        states = {n: p.refresh() if hasattr(p, "refresh") else p.state for n, p in self.plugins.items()}
+        return {n: s for n, s in states.items() if s.generation > (seen or {}).get(n, 0)}
+
+    def plugin_command(self, name: str, command: str, params: dict) -> bool:
+        """Whether the plugin knows the command and did it."""
+        found = self.plugins.get(name)
+        return found is not None and command in found.state.commands and found.state.commands[command](params)
+
     def stop(self, number: int) -> None:
         self.streams.pop(number).close()
 
@@ -186,9 +198,12 @@ def open_logs(spark: SparkSession, paths: list[str], sort: bool = True, plugins:
 
 def from_messages(msgs: DataFrame, sort: bool = True, plugins: list[Plugin] = (), text: bool = True, limits: lifecycle.Limits = lifecycle.Limits()) -> Session:
     msgs, lcs = lifecycle.detect(msgs, limits)
+    for p in plugins:
+        if hasattr(p, "use_lifecycles"):
+            p.use_lifecycles(lcs)
     msgs = chain(msgs, list(plugins))
     if text:
         msgs = with_text(msgs)
     msgs = ordering.with_calculated_time(msgs, lcs, unknown_at_reception=True) if sort else msgs.withColumn("calculated_time_us", F.col("reception_time_us"))
     order = ["calculated_time_us", "index"] if sort else ["index"]
-    return Session(Positions.build(msgs, order, ["calculated_time_us", "index"]), lcs, sort)
+    return Session(Positions.build(msgs, order, ["calculated_time_us", "index"]), lcs, sort, {p.name: p for p in plugins if hasattr(p, "state")})

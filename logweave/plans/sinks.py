@@ -109,7 +109,7 @@ class _TraceWriter(DataSourceWriter):
                 store.delete_file(f"{folder}/{m.name}")
 
 
-def write_parts(msgs: DataFrame, path: str, order: str = "index") -> None:
+def write_parts(msgs: DataFrame, path: str, order: str | list[str] = "index") -> None:
     """Binary traces in a folder, one for each partition of msgs, in order within each; repartitionByRange(order) before makes them follow one another."""
     msgs.sparkSession.dataSource.register(Traces)
     serialised(msgs.sortWithinPartitions(order)).select("raw").write.format("vehicletrace").mode("append").save(path)

@@ -44,6 +44,11 @@ def has_regex_chars(text: str) -> bool:
     return any(c in SPECIAL for c in text)
 
 
+def regex_chars_in(c: Column) -> Column:
+    """has_regex_chars() for a column."""
+    return c.rlike("[" + "".join(f"\\{x}" for x in sorted(SPECIAL)) + "]")
+
+
 @dataclass(frozen=True)
 class Id:
     """A 4-byte id, or a pattern searched in the 4 bytes with their NUL padding."""

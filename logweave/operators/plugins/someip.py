@@ -38,6 +38,7 @@ class Segments:
     def __init__(self, names: dict | None = None):
         self.names, self.open = names or {}, {}
 
+    # fixed values: the texts of messages about segments
     def add(self, items: list[wire.Arg]) -> str | None:
         tag = items[0].raw[:4] if items else b""
         number = int.from_bytes(items[1].raw, "little") if len(items) > 1 and len(items[1].raw) == 4 else None

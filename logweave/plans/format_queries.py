@@ -397,20 +397,19 @@ def service_times(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.time_sort(m, lcs, unknown_at_reception=True).select("index", "calculated_time_us")
 
 
-@query(f", l AS (SELECT idx AS id, {BASE} + idx % 97 * 1000 AS s FROM m WHERE idx < 500), r AS (SELECT l.id, CASE WHEN l.id % 4 = 3 THEN greatest(l.s, o.s + 1) ELSE l.s END AS k FROM l LEFT JOIN l o ON o.id = l.id - 1) SELECT id, (row_number() OVER (ORDER BY k, id))::BIGINT AS place FROM r")
+@query(f", l AS (SELECT idx AS id, {BASE} + idx % 97 * 1000 AS s FROM m), r AS (SELECT l.id, CASE WHEN l.id % 4 = 3 THEN greatest(l.s, o.s + 1) ELSE l.s END AS k FROM l LEFT JOIN l o ON o.id = l.id - 1) SELECT id, (row_number() OVER (ORDER BY k, id))::BIGINT AS place FROM r")
 def resumed_lifecycles(spark: SparkSession, sf: str) -> DataFrame:
     """A resumed lifecycle stands behind where it came from, whatever its own start."""
     start = lambda i: F.lit(BASE) + i % 97 * 1000
-    l = messages(spark, sf).where("index < 500").select(F.col("index").alias("id"), start(F.col("index")).alias("start_time_us"))  # noqa: E741
+    l = messages(spark, sf).select(F.col("index").alias("id"), start(F.col("index")).alias("start_time_us"))  # noqa: E741
     resume = F.struct((F.col("id") - 1).alias("id"), F.lit(0).cast("long").alias("max_timestamp_us"), start(F.col("id") - 1).alias("start_time_us"))
     l = l.withColumn("resume", F.when(F.col("id") % 4 == 3, resume))  # noqa: E741
-    place = F.row_number().over(Window.orderBy("order_us", "id"))  # lifecycles are few
-    return ordering.resumed_order(l).select("id", place.cast("long").alias("place"))
+    return ordering.numbered(ordering.resumed_order(l), ["order_us", "id"], "place").select("id", (F.col("place") + 1).alias("place"))
 
 
-@query("SELECT idx AS first_index, 'E001 LC#7 f' || idx || '.bin ' || idx || ' ' || CASE WHEN idx % 3 = 0 THEN 'Error(-2, 5)' ELSE 'Complete' END AS line FROM m WHERE idx < 1000")
+@query("SELECT idx AS first_index, 'E001 LC#7 f' || idx || '.bin ' || idx || ' ' || CASE WHEN idx % 3 = 0 THEN 'Error(-2, 5)' ELSE 'Complete' END AS line FROM m")
 def transfer_report_lines(spark: SparkSession, sf: str) -> DataFrame:
-    m = messages(spark, sf).where("index < 1000")
+    m = messages(spark, sf)
     bad = F.col("index") % 3 == 0
     found = m.select(F.col("index").alias("first_index"), F.lit(b"E001").alias("ecu"), F.lit(7).alias("lifecycle"), F.concat(F.lit("f"), "index", F.lit(".bin")).alias("name"), F.col("index").alias("size"), F.when(bad, "Error").otherwise("Complete").alias("state"), F.lit(-2).alias("code"), F.lit(5).alias("errno"))
     return sinks.transfer_report(found)
@@ -444,10 +443,11 @@ def read_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT k AS text, regexp_matches(k, '[\\^$*+?()\\[\\]{}|.\\-\\\\=!<>,]') AS special FROM (SELECT DISTINCT unnest([event_type, event_type || '.*', event_type || '-', '{' || event_type]) AS k FROM events)")
 def regex_characters(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether an id given in a filter is meant as a pattern; decided on the driver, as filters are few."""
-    kinds = [r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct().collect()]
-    texts = [t for k in kinds for t in (k, f"{k}.*", f"{k}-", "{" + k)]
-    return spark.createDataFrame([(t, filters.has_regex_chars(t)) for t in texts], "text string, special boolean")
+    """Whether an id given in a filter is meant as a pattern."""
+    kinds = spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct()
+    k = F.col("event_type")
+    texts = kinds.select(F.explode(F.array(k, F.concat(k, F.lit(".*")), F.concat(k, F.lit("-")), F.concat(F.lit("{"), k))).alias("text"))
+    return texts.select("text", filters.regex_chars_in(F.col("text")).alias("special"))
 
 
 @query(", c AS (SELECT ecu, apid, ctid, count(*) AS n FROM m GROUP BY ALL) SELECT ecu, apid, ctid, n AS nr_msgs, sum(n) OVER (PARTITION BY ecu, apid)::BIGINT AS app_msgs, sum(n) OVER (PARTITION BY ecu)::BIGINT AS ecu_msgs FROM c")

@@ -322,27 +322,33 @@ def detection_input(msgs: DataFrame) -> DataFrame:
 
 _INFO = "id long, ecu binary, nr_msgs long, nr_control_req_msgs long, start_time_us long, initial_start_time_us long, min_timestamp_us long, max_timestamp_us long, last_reception_time_us long, resume struct<id:long,max_timestamp_us:long,start_time_us:long>, sw_version string"
 _NAMES = [c.split(" ")[0] for c in _INFO.split(", ")]
-BLOCK = 2_000
+BLOCK, SMALL = 2_000, 250_000
 _KEY = ["ecu", "_block", "_cut"]
 
 
-def marks(msgs: DataFrame, lim: Limits, block: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, blocks): what detection needs of the messages, in blocks of `block` indexes, and for each (ecu, _block) its first cut, if any.
+def marks(msgs: DataFrame, block: int) -> DataFrame:
+    """What detection needs of the messages, in blocks of `block` indexes, with what can be said of them within their block."""
+    w = Window.partitionBy("ecu", "_block").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = detection_input(msgs).withColumn("_block", block_of("index", block))
+    return staged(rows.withColumns({"upto": F.max(_latest()).over(w), "gap": F.col("reception") - F.last(F.when(~F.col("request"), F.col("reception")), True).over(w), "falls": F.col("uptime") < F.last(F.when(~F.col("request"), F.col("uptime")), True).over(w), "start": F.greatest(F.lit(0), F.col("reception") - F.col("uptime"))}), "marks")
+
+
+def _latest():
+    return F.greatest("reception", "uptime")
+
+
+def first_cuts(rows: DataFrame, lim: Limits) -> DataFrame:
+    """For each (ecu, _block) of marks() its first cut, if any.
 
     A cut is a message whose uptime is less than the one before and whose lifecycle starts after all the ECU's earlier
     messages were received: no lifecycle before it reaches it. upto, the greatest time of an earlier message, is a maximum within the block and one over the blocks before.
     """
-    late = F.greatest("reception", "uptime")
-    w = Window.partitionBy("ecu", "_block").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
-    rows = detection_input(msgs).withColumn("_block", block_of("index", block))
-    rows = rows.withColumns({"upto": F.max(late).over(w), "gap": F.col("reception") - F.last(F.when(~F.col("request"), F.col("reception")), True).over(w), "falls": F.col("uptime") < F.last(F.when(~F.col("request"), F.col("uptime")), True).over(w), "start": F.greatest(F.lit(0), F.col("reception") - F.col("uptime"))})
-    rows = staged(rows, "marks")
     carry = F.max("late").over(Window.partitionBy("ecu").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = rows.groupBy("ecu", "_block").agg(F.max(late).alias("late")).select("ecu", "_block", carry.alias("carry"))
+    blocks = rows.groupBy("ecu", "_block").agg(F.max(_latest()).alias("late")).select("ecu", "_block", carry.alias("carry"))
     upto = F.greatest("upto", "carry")
     cut = F.col("falls") & F.col("has_uptime") & ~F.col("request") & (F.col("start") > upto) & (F.col("reception") > upto + lim.check_every)
     cuts = rows.join(blocks, ["ecu", "_block"]).groupBy("ecu", "_block").agg(F.min(F.when(cut, F.struct("index", upto.alias("upto")))).alias("cut"))
-    return rows, staged(cuts, "blocks")
+    return staged(cuts, "blocks")
 
 
 def units(rows: DataFrame, lim: Limits) -> DataFrame:
@@ -416,22 +422,28 @@ def _tracks(lim: Limits):
     return run
 
 
-def segments(msgs: DataFrame, lim: Limits, block: int) -> tuple[DataFrame, DataFrame]:
+def segments(msgs: DataFrame, lim: Limits, block: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(blocks, found): every (ecu, _block) of the messages, and the lifecycles of each ECU by first_index, found in segments.
 
     Each segment runs a machine of its own over its rows, or over whole blocks of rows where these are quiet. What was assumed is
     checked: a machine names the blocks that it could not take, which are taken apart; a cut is dropped, which joins two segments,
     if a lifecycle behind it begins before the cut's earlier messages were received, or if the message at the cut resumes the
-    lifecycle before it. Only the segments concerned run again. What is left gives the rows of one machine over the ECU.
+    lifecycle before it. Only the segments concerned run again. What is left gives the rows of one machine over the ECU, which is what tables of
+    up to `small` rows are given to, an ECU each.
     """
     n = int(msgs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, blocks = marks(msgs, lim, block)
+    null = lambda c: F.lit(None).cast("boolean" if c in ("has_uptime", "request") else "long").alias(c)
+    rows = marks(msgs, block)
+    if rows.count() <= small:
+        alone = {"_home": F.lit(-1).cast("long"), "seg": F.lit(-1).cast("long"), "_cut": F.lit(-1).cast("long")}
+        sent = rows.withColumns(alone).select(*[null(c) if c in _UNIT[:-1] else F.col(c) for c in _SENT]).repartition(n, "ecu").sortWithinPartitions("ecu", "index")
+        return rows.select("ecu", "_block").distinct(), staged(sent.mapInArrow(_tracks(lim), _FOUND), "found")
+    blocks = first_cuts(rows, lim)
     behind = F.when(F.col("index") >= F.col("cut.index"), F.col("cut.index"))
     rows = rows.join(blocks, ["ecu", "_block"]).withColumns({"_cut": F.coalesce(behind, F.lit(-1)), "upto": F.when(F.col("index") == F.col("cut.index"), F.col("cut.upto"))}).drop("cut")
     parts = units(rows, lim)
     dropped = expanded = found = todo = None  # (ecu, _cut), (ecu, _block, _cut), lifecycles, (ecu, seg): all at first
     w = Window.partitionBy("ecu").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)  # at most two units a block
-    null = lambda c: F.lit(None).cast("boolean" if c in ("has_uptime", "request") else "long").alias(c)
     while True:
         own, gone = parts, F.lit(None)
         if dropped is not None:
@@ -490,7 +502,7 @@ def _whole(msgs: DataFrame, lim: Limits) -> DataFrame:
     return detection_input(msgs).groupBy(F.lit("all")).applyInPandas(run, f"ecu binary, first_index long, lc struct<{_INFO.replace(' ', ':', 1).replace(', ', ',')}>")
 
 
-def detect(msgs: DataFrame, limits: Limits = Limits(), mode: str = "per_ecu", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def detect(msgs: DataFrame, limits: Limits = Limits(), mode: str = "per_ecu", block: int = BLOCK, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(msgs with lifecycle, lifecycles). Ids are dense, in the order of the lifecycles' first messages.
 
     mode "per_ecu": by segments of each ECU, see segments(); "exact": all ECUs in one machine.
@@ -499,7 +511,7 @@ def detect(msgs: DataFrame, limits: Limits = Limits(), mode: str = "per_ecu", bl
         found = staged(_whole(msgs, limits), "found")
         blocks = msgs.select("ecu", block_of("index", block).alias("_block")).distinct()
     else:
-        blocks, found = segments(msgs, limits, block)
+        blocks, found = segments(msgs, limits, block, small)
     heads = running(found.select("first_index", "ecu", "lc"), [], "first_index", {"id": ("sum", F.lit(1).cast("long"))}, 100 * block)
     origin = heads.select(F.col("first_index").alias("from_key"), F.col("id").alias("from_id"))
     lcs = heads.select("id", "ecu", *[f"lc.{c}" for c in _NAMES[2:]]).join(origin, F.col("resume.id") == F.col("from_key"), "left")

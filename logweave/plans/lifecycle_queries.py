@@ -120,13 +120,13 @@ def lifecycle_report(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_ROUGH},\n{_rules(Limits())}\n{_ALL}")
 def lifecycle_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Resumes, slight overlaps, merges, implausible uptimes, messages without uptime, requests and versions."""
-    _, lcs = lifecycle.detect(rough(spark, sf))
+    _, lcs = lifecycle.detect(rough(spark, sf), small=0)
     return flat(lcs)
 
 
 @query(f"{_ROUGH},\n{_rules(Limits())}\nSELECT x.idx AS index, l.id AS lifecycle FROM x ASOF JOIN l ON x.ecu = l.ecu AND x.idx >= l.first")
 def lifecycle_rules_assigned(spark: SparkSession, sf: str) -> DataFrame:
-    out, _ = lifecycle.detect(rough(spark, sf), block=500)
+    out, _ = lifecycle.detect(rough(spark, sf), block=500, small=0)
     return out.select("index", "lifecycle")
 
 

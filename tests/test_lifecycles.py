@@ -61,8 +61,8 @@ def of_machine(rows):
     return found, {r.index: first[r.lifecycle] for r in out}
 
 
-@pytest.mark.parametrize("block", [24, 150])
-def test_segments_give_what_one_machine_gives(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,small", [(24, 0), (150, 0), (2000, 250_000)])
+def test_segments_give_what_one_machine_gives(spark, monkeypatch, block, small):
     rng, rows, want, owners = random.Random(block), [], {}, {}
     for k in range(110):
         make = rough if k % 2 else steady
@@ -73,7 +73,7 @@ def test_segments_give_what_one_machine_gives(spark, monkeypatch, block):
         owners |= of
     df = spark.createDataFrame([(r[0], bytearray(r[1]), *r[2:]) for r in rows], INPUT)
     monkeypatch.setattr(L, "detection_input", lambda m: m)
-    out, lcs = L.detect(df, block=block)
+    out, lcs = L.detect(df, block=block, small=small)
     found = lcs.collect()
     ids = {k: i + 1 for i, k in enumerate(sorted(want, key=lambda k: k[1]))}
     first = {i: k[1] for k, i in ids.items()}
@@ -92,7 +92,7 @@ def test_one_ecu_goes_through_many_tasks(spark, monkeypatch):
     short = [(i, bytearray(b"ONE"), START + (i // 40) * 10**9 + i % 40 * 10**6, i % 40 * 10**6, True, False, None) for i in range(30_000)]
     for rows, n in ((long, 1), (short, 750)):
         sent.clear()
-        _, lcs = L.detect(spark.createDataFrame(rows, INPUT), block=250)
+        _, lcs = L.detect(spark.createDataFrame(rows, INPUT), block=250, small=0)
         assert lcs.count() == n and lcs.agg(F.sum("nr_msgs")).first()[0] == 30_000
         units = [df for name, df in sent if name == "units"]
         assert len(units) == 1  # nothing had to run again

@@ -6,7 +6,8 @@ store that pyarrow opens), `max_files` (of one trigger, so that a backlog is wor
 each so many seconds with data; default 1), `bytes` (at most in a file; default 1 MB). The rows are those that live.messages() takes: sender,
 received_us, seq, data.
 
-The connection is opened again whenever it ends. One receiver writes to a folder: it belongs to the query's driver.
+The connection is opened again whenever it ends. One receiver writes to a folder: it belongs to the query's driver. A receiver that
+is stopped lands what it has; what one holds that is killed, up to `seconds` of data, is lost, as TCP has no receipts.
 """
 
 from __future__ import annotations

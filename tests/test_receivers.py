@@ -18,11 +18,19 @@ class Server(threading.Thread):
     def __init__(self, pieces):
         super().__init__(daemon=True)
         self.pieces, self.sock, self.go = pieces, socket.create_server(("127.0.0.1", 0)), threading.Semaphore(0)
-        self.port = self.sock.getsockname()[1]
+        self.port, self.conn = self.sock.getsockname()[1], None
+
+    def left_alone(self):
+        """Whether the other side has closed the connection that the server waits on."""
+        try:
+            return bool(select.select([self.conn], [], [], 0)[0])
+        except (OSError, ValueError):
+            return False
 
     def run(self):
         while self.pieces:
             conn, _ = self.sock.accept()
+            self.conn = conn
             with conn:
                 for _ in range(4):
                     if not self.pieces:
@@ -66,7 +74,7 @@ def test_messages_of_a_server_survive_a_restart(spark, tmp_path):
     msgs = boots()[:150]
     whole = b"".join(wire.write(m)[16:] for m in msgs)
     pieces = [whole[i : i + 333] for i in range(0, len(whole), 333)]
-    half = len(pieces) // 2
+    half = len(pieces) // 2 // 4 * 4 + 2  # in the middle of a connection
     server = Server(list(pieces))
     server.start()
     spark.dataSource.register(VehicleReceiver)
@@ -87,8 +95,11 @@ def test_messages_of_a_server_survive_a_restart(spark, tmp_path):
     q = start()
     for _ in range(half):
         server.go.release()
+    landing = Landing(str(tmp_path / "landed"))
+    assert wait_for(lambda: sum(len(r[3]) for n in range(landing.count()) for r in landing.read(n)) == 333 * half)
     assert wait_for(lambda: seen() > 40)
     q.stop()
+    assert wait_for(server.left_alone)
     for _ in pieces:
         server.go.release()
     q = start()

@@ -526,7 +526,7 @@ def test_what_a_full_cell_cannot_give_others_give(spark):
 
 def test_one_query_an_operator(spark):
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 

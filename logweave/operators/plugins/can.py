@@ -14,6 +14,7 @@ from ... import schema as S
 from ...functions import columns as C
 from ...functions.payload import log_infos
 from ...sources.wire import char4
+from ..scan import looked_up, staged
 from .non_verbose import _local, _text
 
 
@@ -137,19 +138,21 @@ def _span(s: Column) -> tuple[Column, Column]:
     return first, F.floor((s["bit"] + s["bits"] - 1) / 8).cast("int") - first + 1
 
 
-def raw_values(data: Column, signals: Column) -> Column:
-    """The bits of each signal (up to 64, over up to nine bytes) as a number, null where data is too short; 64 bits count as signed."""
+def raw_values(data: Column, signals: Column, digits: Column | None = None, back: Column | None = None) -> Column:
+    """The bits of each signal (up to 64, over up to nine bytes) as a number, null where data is too short; 64 bits count as signed. digits, back: data in hex, and with its bytes turned, where these are at hand."""
+    digits = F.hex(data) if digits is None else digits
+    back = _turned(digits) if back is None else back
     right = lambda c, k: F.call_function("shiftrightunsigned", c, k)
     left = lambda c, k: F.call_function("shiftleft", c, k)
 
-    def digits(s: Column) -> Column:
+    def own(s: Column) -> Column:
         first, n = _span(s)
-        found = F.hex(F.substring(data, first + 1, F.least(n, F.lit(8))))
-        return F.when(s["big"], found).otherwise(_turned(found))
+        n = F.least(n, F.lit(8))
+        return F.when(s["big"], F.substring(digits, first * 2 + 1, n * 2)).otherwise(F.substring(back, F.length(back) - (first + n) * 2 + 1, n * 2))
 
     def bits(s: Column, number: Column) -> Column:
         first, n = _span(s)
-        ninth = _number(F.hex(F.substring(data, first + 9, F.lit(1))))
+        ninth = F.when(n > 8, _number(F.substring(digits, first * 2 + 17, F.lit(2))))
         low = s["bit"] - first * 8  # bits below it, little endian
         rest = (first + n) * 8 - s["bit"] - s["bits"]  # bits behind it, big endian
         little = F.when(n > 8, right(number, low).bitwiseOR(left(ninth, 64 - low))).otherwise(right(number, low))
@@ -162,7 +165,7 @@ def raw_values(data: Column, signals: Column) -> Column:
         return F.when(under, value.bitwiseOR(left(F.lit(-1).cast("long"), s["bits"]))).otherwise(value)
 
     # step by step, so that a lambda's argument holds what the next one uses several times
-    numbers = F.transform(F.transform(signals, digits), _number)
+    numbers = F.transform(F.transform(signals, own), _number)
     return F.zip_with(signals, F.zip_with(signals, numbers, bits), signed)
 
 
@@ -184,19 +187,23 @@ def channel_for(name: Column, channels: list[str]) -> Column:
 def decode(msgs: DataFrame, channels: dict) -> DataFrame:
     """msgs with the text of CAN frames whose channel and number the dictionary knows (number 0 stands for those it does not), in native expressions."""
     spark = msgs.sparkSession
-    names = log_infos(msgs).where("ctid is null").groupBy("ecu").agg(F.min_by("description", "index").alias("_name"))
-    names = names.select("ecu", channel_for(F.col("_name"), list(channels)).alias("channel"))
+    # an ECU that says the same again is read once
+    infos = msgs.where(C.is_ctrl_response()).groupBy("ecu", "htyp", "ext", "payload").agg(F.min("index").alias("index"))
+    names = log_infos(staged(infos, "infos")).where("ctid is null").groupBy("ecu").agg(F.min_by("description", "index").alias("_name"))
+    names = staged(names.select("ecu", channel_for(F.col("_name"), list(channels)).alias("channel")), "channels")  # a row for each ECU
     known = frames(spark, channels)
     own = known.select("channel", "number", F.struct("frame", "signals").alias("_own"))
     other = known.where("number = 0").select("channel", F.struct("frame", "signals").alias("_other"))
     vmm = F.col("ext.verb_mstp_mtin").cast("int")
     hit = F.coalesce((vmm.bitwiseAND(0x0E) == S.MSTP_NW_TRACE << 1) & (F.shiftright(vmm, 4) == 2) & (F.col("ext.ctid") == F.lit(char4("TC"))) & (F.col("ext.noar") >= 2) & (F.length("payload") >= 4), F.lit(False))
     number = F.when(hit, _number(_turned(F.hex(F.substring("payload", 1, 4)))))
-    out = msgs.join(names, "ecu", "left").withColumn("number", number)  # a row for each ECU
-    out = out.join(own, ["channel", "number"], "left").join(other, "channel", "left").withColumn("_f", F.coalesce("_own", "_other"))
+    out = looked_up(msgs, names, "ecu").withColumn("number", number)
+    out = looked_up(looked_up(out, own, ["channel", "number"], 10_000), other, "channel", 10_000).withColumn("_f", F.when(hit, F.coalesce("_own", "_other")))
     data = F.expr("substring(payload, 5)")
+    # columns of their own, so that they are made once a row and not once a signal
+    out = out.withColumn("_digits", F.when(F.col("_f").isNotNull(), F.hex(data))).withColumn("_back", _turned(F.col("_digits")))
     signals = F.col("_f.signals")
-    values = F.zip_with(signals, raw_values(data, signals), lambda s, raw: F.concat(s["name"], F.lit("="), shown(s, raw)))
+    values = F.zip_with(signals, raw_values(data, signals, F.col("_digits"), F.col("_back")), lambda s, raw: F.concat(s["name"], F.lit("="), shown(s, raw)))
     values = F.array_join(F.filter(values, lambda v: v.isNotNull()), ", ")
     text = F.concat(F.col("_f.frame"), F.lit(" [0x"), F.lower(F.hex("number")), F.lit("] "), F.when(values != "", values).otherwise(C.hex_dump(data)))
     return out.withColumn("payload_text", F.coalesce(F.when(hit, text), "payload_text")).select(*msgs.columns)

@@ -43,6 +43,12 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(df: DataFrame, table: DataFrame, on: str | list[str], most: int = 100_000) -> DataFrame:
+    """df with what the table has for its key, if anything. A table that counts up to `most` rows is sent to all tasks, so that df stays where it is whatever its keys."""
+    small = table.limit(most + 1).count() <= most
+    return df.join(F.broadcast(table) if small else table, on, "left")
+
+
 def block_of(at: str, block: int) -> Column:
     return F.expr(f"`{at}` div {block}")
 

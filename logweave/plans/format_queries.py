@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from datetime import date, datetime, timedelta
 
@@ -16,7 +17,7 @@ from ..functions.payload import log_infos, with_text
 from ..operators import filters, lifecycle, ordering, stats
 from ..operators.filters import Filter
 from ..operators.plugins import can, export, model_decode, non_verbose, someip
-from ..operators.scan import hadoop, shared_dir
+from ..operators.scan import hadoop, shared_dir, staged
 from ..schema import MSG_SCHEMA
 from ..sources import binary_formats, datasource, splits, text_formats, wire
 from . import sinks
@@ -27,6 +28,7 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 US = 1_000_000
 DAY = 86_400 * US
+EACH = 200_000  # events that a task encodes, at most about that many
 BASE = 1_704_067_200 * US  # the first of January 2024
 TEXT = "txt || ' ' || idx AS payload_text"
 
@@ -40,23 +42,28 @@ def query(sql: str):
     return add
 
 
-def read_back(spark: SparkSession, sf: str, messages_of: Callable[[tuple], Iterable[wire.Message]]) -> DataFrame:
-    """The messages that messages_of(event) gives; index becomes the event's. An event is a tuple: index (e[0]), us, ecu, apid, ctid, level, mcnt, text."""
-    import pandas as pd
+def spread(msgs: DataFrame, order: list | None = None) -> DataFrame:
+    """msgs over as many tasks as they need, however few their files have: encoding costs more than moving the rows once. order: dealt out in ranges of it."""
+    n = max(msgs.sparkSession.sparkContext.defaultParallelism, msgs.count() // EACH + 1)
+    return msgs.repartitionByRange(n, *order) if order else msgs.repartition(n, "index")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for e in p.itertuples(index=False):
+
+def read_back(spark: SparkSession, sf: str, messages_of: Callable[[tuple], Iterable[wire.Message]], order: list | None = None) -> DataFrame:
+    """The messages that messages_of(event) gives; index becomes the event's, and order is spread()'s. An event is a tuple: index (e[0]), us, ecu, apid, ctid, level, mcnt, text."""
+
+    def run(batches):
+        for b in batches:
+            rows, event = [], namedtuple("event", b.schema.names)
+            for e in map(event, *(c.to_pylist() for c in b.columns)):
                 for m in messages_of(e):
-                    m.index = int(e[0])
+                    m.index = e[0]
                     rows.append(m.row("memory", 0, m.index))
-            yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
+            yield S.as_batch(rows)
 
-    m = messages(spark, sf)
+    m = spread(messages(spark, sf), order)
     level = F.shiftright(F.col("ext.verb_mstp_mtin").cast("int"), 4)
     src = m.select("index", F.col("reception_time_us").alias("us"), "ecu", "ext.apid", "ext.ctid", level.alias("level"), "mcnt", F.col("payload_text").alias("text"))
-    return src.mapInPandas(run, MSG_SCHEMA)
+    return src.mapInArrow(run, MSG_SCHEMA)
 
 
 def _log(e, values: list | None = None) -> wire.Message:
@@ -308,8 +315,8 @@ def can_decode(spark: SparkSession, sf: str) -> DataFrame:
         lines = ["date Mon Jan 01 12:00:00.000 am 2024", "//BusMapping: CAN 1 = Body", f" {us // US}.{us % US:06d} 1  40  Rx   d 8 {data.hex(' ')}  Length = 1"]
         return text_formats.read_asc(lines)
 
-    found = can.decode(read_back(spark, sf, read), table)
-    return found.where("ext.noar = 2 and payload_text is not null and length(payload) = 12").select("index", "payload_text")
+    found = can.decode(staged(read_back(spark, sf, read), "can"), table)  # two passes read it
+    return found.where("ext.noar = 2 and length(payload) = 12").select("index", "payload_text")
 
 
 @query("SELECT idx AS index, 'request svc[7].go (0001:' || lpad(lower(to_hex(idx % 65536)), 4, '0') || ') v1 rc=0 ' || lpad(lower(to_hex(idx % 251)), 2, '0') || ' ' || lpad(lower(to_hex(level)), 2, '0') AS payload_text FROM m")

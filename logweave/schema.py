@@ -23,6 +23,25 @@ MSG_SCHEMA = T.StructType(
         T.StructField("src_seq", T.LongType()),
     ]
 )
+
+
+def as_batch(rows: list[tuple]):
+    """Rows of messages (wire.Message.row) as an Arrow batch, column by column."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(MSG_SCHEMA)
+    columns = []
+    for f, values in zip(schema, zip(*rows) if rows else [()] * len(schema), strict=True):
+        if f.name == "ext":
+            parts = zip(*(x or (None,) * len(EXT) for x in values)) if rows else [()] * len(EXT)
+            missing = pa.array([x is None for x in values], pa.bool_())
+            columns.append(pa.StructArray.from_arrays([pa.array(p, g.type) for p, g in zip(parts, f.type, strict=True)], fields=list(f.type), mask=missing))
+        else:
+            columns.append(pa.array(values, f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 LIFECYCLE_SCHEMA = "id long, ecu binary, nr_msgs long, nr_control_req_msgs long, start_time_us long, initial_start_time_us long, min_timestamp_us long, max_timestamp_us long, last_reception_time_us long, resume struct<id:long,max_timestamp_us:long,start_time_us:long>, sw_version string"
 
 # fixed values of the log format: header flags, message kinds, argument type bits

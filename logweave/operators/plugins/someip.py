@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +73,12 @@ class Segments:
 def decode(msgs: DataFrame, names: dict | None = None, ctid: str = "TC") -> DataFrame:
     """msgs with the text of SOME/IP traces; pieces are put together within one segment id.
 
-    Whole messages are read where they are. Pieces come sorted by segment id and index, and pass one after another: only
-    the segment at hand is held.
+    Pieces come sorted by segment id and index, and pass one after another: only the segment at hand is held. The other
+    messages are dealt out by their index, so that all rows are read once and none is joined again. The rows pass as Arrow
+    batches, in which only the text is new.
     """
+    import pyarrow as pa
+
     vmm = F.col("ext.verb_mstp_mtin").cast("int")
     mine = F.coalesce((vmm.bitwiseAND(0x0E) == 4) & (F.shiftright(vmm, 4) == 1) & (F.col("ext.ctid") == F.lit(wire.char4(ctid))), F.lit(False))
     # the segment id is the second argument: 4 bytes after the first string and its own type
@@ -86,25 +88,26 @@ def decode(msgs: DataFrame, names: dict | None = None, ctid: str = "TC") -> Data
     def text_of(state: Segments, h, v, raw) -> str | None:
         return state.add(wire.args(message_of(int(h), int(v), bytes(raw))))
 
-    @F.pandas_udf("string")
-    def whole(htyp: pd.Series, v: pd.Series, payload: pd.Series) -> pd.Series:
-        return pd.Series([None if raw is None else text_of(Segments(names), h, x, raw) for h, x, raw in zip(htyp, v, payload, strict=True)], dtype=object)
-
-    def pieces(parts):
+    def read(batches):
         last, state = None, Segments(names)
-        for part in parts:
-            out = []
-            for s, h, v, raw in zip(part["seg"], part["htyp"], part["vmm"], part["payload"], strict=True):
-                if s != last:
-                    last, state = s, Segments(names)
-                out.append(text_of(state, h, v, raw))
-            yield pd.DataFrame({"index": part["index"], "_text": out})
-
-    alone = mine & seg.isNull()
-    marked = msgs.withColumn("payload_text", F.coalesce(F.when(alone, whole(F.col("htyp"), F.when(alone, vmm).otherwise(0), F.when(alone, p))), "payload_text"))
-    parted = msgs.where(mine & seg.isNotNull()).select("index", "htyp", vmm.alias("vmm"), "payload", seg.alias("seg"))
-    texts = parted.repartition("seg").sortWithinPartitions("seg", "index").mapInPandas(pieces, "index long, _text string")
-    return marked.join(texts, "index", "left").withColumn("payload_text", F.coalesce("_text", "payload_text")).drop("_text")
+        for b in batches:
+            out, columns = [], [b.column(c).to_pylist() for c in ("_mine", "_seg", "htyp", "_vmm", "payload", "payload_text")]
+            for own, s, h, v, raw, text in zip(*columns, strict=True):
+                found = None
+                if own and s is not None:
+                    if s != last:
+                        last, state = s, Segments(names)
+                    found = text_of(state, h, v, raw)
+                elif own and raw is not None:
+                    found = text_of(Segments(names), h, v, raw)
+                out.append(text if found is None else found)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "payload_text" else b.column(c) for c in kept], names=kept)
+
+    kept = msgs.columns
+    rows = msgs.withColumns({"_mine": mine, "_seg": F.when(mine, seg), "_vmm": vmm})
+    n = max(int(msgs.sparkSession.conf.get("spark.sql.shuffle.partitions")), msgs.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.withColumn("_to", F.when(F.col("_seg").isNull(), F.xxhash64("index")).otherwise(F.xxhash64("_seg"))).repartition(n, "_to").sortWithinPartitions("_seg", "index")
+    return rows.mapInArrow(read, msgs.schema)
 
 
 def from_config(config: dict):

@@ -434,18 +434,26 @@ def _parts(msgs: DataFrame, name: str) -> list[str]:
 @query(f"SELECT (row_number() OVER (ORDER BY idx) - 1)::BIGINT AS index, ecu, apid, ctid, {TEXT} FROM m")
 def read_file_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Traces read in splits whose ends lie anywhere in their messages."""
-    paths = _parts(read_back(spark, sf, lambda e: [_log(e)]).repartitionByRange(2, "index"), "long")
+    paths = _parts(read_back(spark, sf, lambda e: [_log(e)], ["index"]), "long")
     m = ordering.numbered(splits.read_splits(spark, paths, split_bytes=1 << 20).drop("index"), ["src_stream", "src_seq"])
     return ids(with_text(m), "payload_text")
 
 
 @query(f"SELECT (idx % 2)::INT AS src_stream, row_number() OVER (PARTITION BY idx % 2 ORDER BY idx) - 1 AS index, ecu, apid, ctid, {TEXT} FROM m")
 def read_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Two files of one base name in different folders are two streams."""
+    """Files of one base name in different folders are streams of their own; those of a folder follow one another as one trace."""
+    events = read_back(spark, sf, lambda e: [_log(e)], ["index"])
+    events = staged(events.withColumn("_trace", F.col("index") % 2), "two")
+    n = max(2, spark.sparkContext.defaultParallelism // 2, events.count() // (2 * EACH) + 1)
     paths = []
     for k in range(2):
-        paths += _parts(read_back(spark, sf, lambda e, k=k: [_log(e)] if e[0] % 2 == k else []).coalesce(1), f"trace{k}")
-    return ids(with_text(datasource.read_logs(spark, paths)), "src_stream", "payload_text")
+        # a range of the events is a file: no task writes or reads a whole trace
+        paths.append(_parts(events.where(F.col("_trace") == k).drop("_trace").repartitionByRange(n, "index"), f"trace{k}"))
+    m = staged(datasource.read_logs(spark, paths[0] + paths[1]), "read").withColumn("_trace", (F.col("src_stream") >= len(paths[0])).cast("int"))
+    upto = Window.partitionBy("_trace").orderBy("src_stream").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = m.groupBy("_trace", "src_stream").agg(F.count("*").alias("_n")).select("src_stream", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    m = m.join(F.broadcast(before), "src_stream").withColumns({"index": F.col("index") + F.col("_before"), "src_stream": F.col("_trace")})
+    return ids(with_text(m), "src_stream", "payload_text")
 
 
 @query("SELECT k AS text, regexp_matches(k, '[\\^$*+?()\\[\\]{}|.\\-\\\\=!<>,]') AS special FROM (SELECT DISTINCT unnest([event_type, event_type || '.*', event_type || '-', '{' || event_type]) AS k FROM events)")

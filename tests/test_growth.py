@@ -68,3 +68,17 @@ def test_segments_are_read_in_one_pass(spark):
     got = {r["index"]: (r["payload_text"], r["more"]) for r in out.collect()}
     text = "request svc[7].go (0001:0002) v1 rc=0 aa bb"
     assert len(got) == 6 and got[6] == (text, 12) and got[8] == (text, 16) and got[9] == (None, 18)
+
+
+def test_a_trace_is_written_by_many_tasks(spark, monkeypatch):
+    written = []
+    parts = Q._parts
+    monkeypatch.setattr(Q, "_parts", lambda m, name: written.append(parts(m, name)) or written[-1])
+    monkeypatch.setattr(Q, "EACH", 100)
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    got = Q.read_files(spark, SF).select("src_stream", "index").collect()
+    assert sorted(map(tuple, got)) == [(k, i) for k in range(2) for i in range((n + 1 - k) // 2)]
+    assert Q.read_file_ranges(spark, SF).count() == n
+    # files of a trace, and their number, grow with the events
+    assert [len(w) >= 5 for w in written] == [True] * 3
+    assert {p.rsplit("/", 1)[1] for p in written[0]} == {p.rsplit("/", 1)[1] for p in written[1]}

@@ -15,6 +15,7 @@ from ...functions.payload import arg_value, message_of
 from ...sources import wire
 
 UNKNOWN = 2**63 - 1
+HELD = 4 << 20  # bytes of complete files that are given out together
 EVENT = "struct<kind:string,serial:long,name:string,size:long,created:string,packages:long,buffer:long,package:long,code:long,errno:long,data:binary>"
 COUNTS = {"FLST": 8, "FLDA": 5, "FLFI": 3, "FLER": 10}
 
@@ -132,12 +133,17 @@ def transfers(msgs: DataFrame, apid: str | None = None, ctid: str | None = None)
         key, own = None, []
         ready = lambda: [(*key, t.state, t.name, t.size, t.created, t.code, t.errno, t.first_index, bytes(t.data) if t.state == "Complete" else None) for t in own]
         for part in parts:
-            rows = []
+            rows, held = [], 0
             for ecu, lc, serial, index, e in zip(part["ecu"], part["lifecycle"], part["serial"], part["index"], part["event"], strict=True):
                 k = (bytes(ecu), lc, serial)
                 if k != key:
-                    rows += ready() if key else []
+                    done = ready() if key else []
+                    rows += done
+                    held += sum(len(r[-1] or b"") for r in done)
                     key, own = k, []
+                    if held > HELD:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
                 step(own, index, e)
             yield pd.DataFrame(rows, columns=columns)
         if key:

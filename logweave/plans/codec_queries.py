@@ -10,7 +10,7 @@ from ..functions.payload import with_text
 from ..operators import lifecycle, ordering, stats
 from ..operators.filters import Filter, Id
 from ..operators.plugins import anonymize, export, file_transfer, rewrite
-from ..schema import MSG_SCHEMA
+from ..schema import MSG_SCHEMA, as_batch
 from ..sources import wire
 from . import sinks
 from .adapter import SQL, messages
@@ -105,30 +105,28 @@ def file_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")  # encoding costs more than moving the texts once
     u = lambda x: ("u", 32, x)
-
-    def send(d: int, raw: bytes):
-        n = max(1, -(-len(raw) // 1000))
-        yield ["FLST", u(d), f"{d}.txt", u(len(raw)), "today", u(n), u(1000), "FLST"]
-        for i in range(n):
-            yield ["FLDA", u(d), u(i + 1), raw[1000 * i : 1000 * i + 1000], "FLDA"]
-        yield ["FLFI", u(d), "FLFI"]
-
-    def run(parts):
-        import pandas as pd
-
-        rows = []
-        for p in parts:
-            for d, text in zip(p["doc_id"], p["text"], strict=True):
-                for i, values in enumerate(send(d, text.encode())):
-                    m = wire.log("ECU1", "SYS", "FILE", values)
+    # packages are cut before they come to Python, which so holds no more than a batch of them, however long the texts
+    raw = docs.select("doc_id", F.encode("text", "UTF-8").alias("raw")).withColumn("size", F.length("raw"))
+    n = F.greatest(F.lit(1), F.ceil(F.col("size") / 1000).cast("int"))
+    step = lambda i: F.struct(i.alias("i"), F.when(i.between(1, n), F.substring("raw", (i - 1) * 1000 + 1, F.lit(1000))).alias("data"))
+    steps = raw.select("doc_id", "size", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), n + 1), step)).alias("s")).select("doc_id", "size", "n", "s.*")
+
+    def values(d: int, size: int, n: int, i: int, data: bytes | None) -> list:
+        if i == 0:
+            return ["FLST", u(d), f"{d}.txt", u(size), "today", u(n), u(1000), "FLST"]
+        return ["FLFI", u(d), "FLFI"] if data is None else ["FLDA", u(d), u(i), data, "FLDA"]
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                rows = []
+                for d, size, n, i, data in zip(*(c.to_pylist() for c in b.slice(k, 2000).columns), strict=True):
+                    m = wire.log("ECU1", "SYS", "FILE", values(d, size, n, i, data))
                     m.index, m.lifecycle = d * 1_000_000 + i, 1
                     rows.append(m.row())
-                if len(rows) >= 5000:
-                    yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
-                    rows = []
-        yield pd.DataFrame(rows, columns=MSG_SCHEMA.fieldNames())
+                yield as_batch(rows)
 
-    found = file_transfer.transfers(docs.mapInPandas(run, MSG_SCHEMA))
+    found = file_transfer.transfers(steps.mapInArrow(run, MSG_SCHEMA))
     return found.select(F.col("serial").alias("doc_id"), "size", "state", F.sha2("data", 256).alias("sha"))
 
 

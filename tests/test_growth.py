@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from logweave import schema as S
 from logweave.operators.plugins import can, someip
+from logweave.plans import codec_queries as C
 from logweave.plans import format_queries as Q
 from logweave.sources import text_formats, wire
 
@@ -82,3 +83,12 @@ def test_a_trace_is_written_by_many_tasks(spark, monkeypatch):
     # files of a trace, and their number, grow with the events
     assert [len(w) >= 5 for w in written] == [True] * 3
     assert {p.rsplit("/", 1)[1] for p in written[0]} == {p.rsplit("/", 1)[1] for p in written[1]}
+
+
+def test_texts_are_cut_before_they_are_encoded(spark):
+    out = C.file_reassembly(spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Generate explode")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    both = docs.join(out, "doc_id", "full").where("state = 'Complete' and sha = sha2(t, 256) and size = octet_length(t)")
+    assert both.count() == docs.count()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import lifecycle
 from ..operators.lifecycle import Limits
+from ..operators.scan import running
 from .adapter import SQL, messages
 
 QUERIES: dict = {}
@@ -74,10 +75,10 @@ def rough(spark: SparkSession, sf: str) -> DataFrame:
     """
     m = messages(spark, sf)
     i, t = F.col("index"), F.floor(F.col("reception_time_us") / 600)
-    w = Window.partitionBy("ecu").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
     boots, sleeps = (F.col("ext.apid") == F.lit(b"SIGN")) & (i % 3 != 0), (F.col("ext.apid") == F.lit(b"ERRO")) & (i % 7 == 0)
-    slept = F.coalesce(F.sum(F.when(sleeps, 40 * US)).over(w), F.lit(0))
-    m = m.withColumns({"_t": t, "_slept": slept, "_boot": F.coalesce(F.max(F.when(boots, F.struct(i.alias("i"), t.alias("t")))).over(w)["t"], F.lit(1_700_000_000_000_000))})
+    # in blocks of indexes: an ECU's messages are not one task
+    m = running(m.withColumn("_t", t), ["ecu"], "index", {"_slept": ("sum", F.when(sleeps, 40 * US)), "_boot": ("last", F.when(boots, F.col("_t")))})
+    m = m.withColumns({"_slept": F.coalesce("_slept", F.lit(0)), "_boot": F.coalesce("_boot", F.lit(1_700_000_000_000_000))})
     late = F.when(i % 11 == 0, 3 * US).when(i % 97 == 0, 70 * US).when(i % 5 == 0, 300_000).otherwise(0)
     up = F.greatest(F.lit(0), F.col("_t") - F.col("_boot"))
     up = F.when((i % 13 == 0) | (i % 17 == 0), 0).when(i % 101 == 0, up + 1000 * US).otherwise(up)

@@ -12,7 +12,7 @@ from ..functions import columns as C
 from ..operators.filters import Filter, Id, combined
 from ..operators.lifecycle import Limits
 from ..operators.positions import Cursor, Positions
-from ..operators.scan import hadoop, shared_dir
+from ..operators.scan import hadoop, shared_dir, staged
 from ..streaming import feed, live
 from ..streaming.reorder import ByTime, Fifo, Smallest, reordered
 from .adapter import SQL, messages
@@ -99,6 +99,25 @@ def arriving(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def in_generations(df: DataFrame, name: str, steps: int = 3, each: int = 200_000) -> DataFrame:
+    """df as a stream of `steps` triggers by growing index, each of as many files as its rows need. What reads it does not rely on the order within a trigger."""
+    spark = df.sparkSession
+    df = staged(df, f"{name}-rows")
+    path = f"{shared_dir(spark)}/logweave-{uuid.uuid4().hex}/{name}"
+    fs, at = hadoop(spark, path)
+    fs.deleteOnExit(at)
+    rows, top = df.agg(F.count("*"), F.max("index")).first()
+    n = rows // (steps * each) + 1  # files of a step: all have rows, as these are dealt out in turn
+    for k in range(steps):
+        low, high = ((top or 0) + 1) * k // steps, ((top or 0) + 1) * (k + 1) // steps
+        some = df.where((F.col("index") >= low) & (F.col("index") < high))
+        (some.coalesce(1) if n == 1 else some.repartition(n)).write.mode("append").parquet(f"{path}/step{k}")
+    found = [sorted(str(f.getPath().toString()) for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/step{k}")) if f.getPath().getName().endswith(".parquet")) for k in range(steps)]
+    if any(len(f) != n for f in found):  # some indexes have few rows: a file for each step
+        return arriving(spark, in_steps(df, f"{name}-single", steps), df.schema)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(f"{path}/step*")
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all that is there, as a table."""
     spark = stream.sparkSession
@@ -160,7 +179,7 @@ def _feed(spark: SparkSession, changes: DataFrame, name: str) -> DataFrame:
 def feed_of_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """The counts that changed in each of three generations add up to those of all messages."""
     m = messages(spark, sf).select("index", "ecu", "ext")
-    found = _feed(spark, live.statistics(arriving(spark, in_steps(m, "counted"), m.schema)), "counts")
+    found = _feed(spark, live.statistics(in_generations(m, "counted")), "counts")
     n = found.agg(F.count_distinct("generation").cast("int").alias("generations"))
     return feed.fold(found, ["ecu", "apid", "ctid"]).select(*[C.id_text(F.col(c)).alias(c) for c in ("ecu", "apid", "ctid")], "nr_msgs").crossJoin(F.broadcast(n))
 
@@ -168,7 +187,6 @@ def feed_of_statistics(spark: SparkSession, sf: str) -> DataFrame:
 @query(f", {_ROUGH},\n{_rules(Limits())}\nSELECT ecu, first AS first_index, n AS nr_msgs, q AS nr_control_req_msgs, s AS start_time_us, mn AS min_timestamp_us, mx AS max_timestamp_us, last AS last_reception_time_us, rf AS resume_from, v AS sw_version FROM l")
 def feed_of_lifecycles(spark: SparkSession, sf: str) -> DataFrame:
     """Lifecycles as they change in three generations, merged ones gone, add up to those of all messages."""
-    m = rough(spark, sf)
-    found = _feed(spark, feed.lifecycle_changes(arriving(spark, in_steps(m, "rough"), m.schema)), "lifecycles")
+    found = _feed(spark, feed.lifecycle_changes(in_generations(rough(spark, sf), "rough")), "lifecycles")
     names = ("first_index", "nr_msgs", "nr_control_req_msgs", "start_time_us", "min_timestamp_us", "max_timestamp_us", "last_reception_time_us", "resume_from", "sw_version")
     return feed.fold(found, ["ecu", "first_index"]).select(C.id_text(F.col("ecu")).alias("ecu"), *names)

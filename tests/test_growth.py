@@ -92,3 +92,21 @@ def test_texts_are_cut_before_they_are_encoded(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     both = docs.join(out, "doc_id", "full").where("state = 'Complete' and sha = sha2(t, 256) and size = octet_length(t)")
     assert both.count() == docs.count()
+
+
+def test_a_generation_is_many_files(spark):
+    from logweave.plans import service_queries
+
+    for top, each in ((900, 50), (900, 1000)):
+        df = spark.range(top).select(F.col("id").alias("index"))
+        seen = []
+        stream = service_queries.in_generations(df, "t", each=each)
+        path = spark.conf.get("spark.checkpoint.dir") + f"/generations-{each}"
+
+        def note(batch, _):
+            seen.append((batch.count(), batch.agg(F.min("index")).first()[0]))
+
+        stream.writeStream.foreachBatch(note).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+        assert seen == [(300, 0), (300, 300), (300, 600)]
+    gappy = spark.createDataFrame([(0,), (1,), (900,)], "index long")
+    assert service_queries.drained(service_queries.in_generations(gappy, "g", each=1), "gappy").count() == 3
